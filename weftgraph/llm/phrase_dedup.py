@@ -95,7 +95,7 @@ def _by_key(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(key, kind="stable")
     key, place = key[order], place[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    blobs = [place[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(key)], strict=True)]
+    blobs = [place[a:b].tobytes() for a, b in zip(starts, np.r_[starts, len(key)][1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(blobs, pa.binary())], names=["key", "places"])
 
 
