@@ -17,6 +17,7 @@ group of near copies of any size costs one look per copy, and no pair is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,15 +233,39 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(values.astype(np.int64))], names=["place", "byte"])
 
 
+def _able(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[np.ndarray]]:
+    """Members that share enough tokens with the others to match any, and those tokens of each."""
+    sizes = np.array([len(s) for s in sets])
+    least = -(-percent * sizes // 100)
+    able = np.flatnonzero(sizes > 0)
+    while len(able):
+        owner = np.repeat(np.arange(len(able)), [len(sets[i]) for i in able])
+        tokens = np.concatenate([sets[i] for i in able])
+        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        has = np.bincount(owner[shared], minlength=len(able))
+        for k, i in enumerate(np.split(tokens[shared], np.cumsum(has)[:-1])):
+            sets[able[k]] = i
+        enough = has >= least[able]
+        if enough.all():
+            break
+        able = able[enough]
+    return able.tolist(), sets
+
+
 def _block_search(size: int, percent: int):
     """Rows sorted by (block, part) to links (a, b); label: the component so far, asked: null, or whether to search for the row."""
 
     def links(vertices: list[int], texts: list[bytes], labels: list[int], asked: list) -> list[tuple[int, int]]:
+        sets = [shingle_set(text, size) for text in texts]
+        sizes = [len(s) for s in sets]
+        able, sets = _able(sets, percent)
         # Short sets first: a leader is then no longer than its followers.
-        sets = [shingle_set(text, size).tolist() for text in texts]
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), vertices[i]))
+        order = sorted(able, key=lambda i: (sizes[i], vertices[i]))
+        if len(order) < 2:
+            return []
         queries = None if asked[0] is None else [bool(asked[i]) for i in order]
-        found = block_links([sets[i] for i in order], [labels[i] for i in order], queries, percent)
+        found = block_links([sets[i].tolist() for i in order], [sizes[i] for i in order], [labels[i] for i in order], queries, percent)
         return [(vertices[order[x]], vertices[order[y]]) for x, y in found]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +294,64 @@ def _block_search(size: int, percent: int):
     return rows
 
 
+def _merged_blocks(members: DataFrame) -> DataFrame:
+    """Blocks whose naming document stands in a block of a lesser one join that one, two steps up.
+
+    Near copies then meet in one block instead of one for each of their
+    shingles' first holders.  Blocks are moved whole, so no pair is lost; what
+    would grow over ``BLOCK`` stays apart.
+    """
+    heads = members.groupBy("member").agg(F.min("block").alias("up"))
+    one = members.select("block").distinct().join(heads.withColumnRenamed("member", "block"), "block", "left").select("block", F.coalesce("up", "block").alias("at"))
+    two = one.join(heads.withColumnRenamed("member", "at"), "at", "left").select("block", F.coalesce("up", "at").alias("root"))
+    moved = members.join(two, "block")
+    sizes = moved.select("root", "member").distinct().groupBy("root").agg(F.count("*").alias("size"))
+    home = F.when(F.col("size") <= BLOCK, F.col("root")).otherwise(F.col("block"))
+    return moved.join(sizes, "root").select(home.alias("block"), "member").distinct()
+
+
+def _member_tokens(size: int):
+    """(block, vertex, n, token) of every shingle of the rows' texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, vertex, text in zip(*(batch.column(c).to_pylist() for c in ("block", "vertex", "text")), strict=True):
+                tokens = shingle_set(text, size)
+                if len(tokens):
+                    n = len(tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, vertex)), pa.array(np.full(n, n)), pa.array(_signed(tokens))], names=["block", "vertex", "n", "token"])
+
+    return rows
+
+
+def _thinned(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Blocks over ``BLOCK`` without the members that share too few shingles with all others of it to match any."""
+    small, large = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
+    rows = large.select("block", F.col("member").alias("vertex")).join(texts, "vertex").select("block", "vertex", "text")
+    tokens = rows.mapInArrow(_member_tokens(size), "block long, vertex long, n long, token long")
+    shared = tokens.groupBy("block", "token").agg(F.count("*").alias("c")).where("c > 1").select("block", "token")
+    able = tokens.join(shared, ["block", "token"]).groupBy("block", "vertex", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
+    kept = able.select("block", F.col("vertex").alias("member")).distinct()
+    sizes = kept.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    return small.unionByName(kept.join(sizes, "block").select(*members.columns))
+
+
+def _fit(members: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """(block, member, size): only members that have another of a fitting set size in their block.
+
+    Sizes are put in bands as wide as the similarity lets two sizes differ, so
+    a fitting one lies in the same or a neighbouring band.
+    """
+    width = math.log(max(1.01, 100 / percent)) * 1.0001
+    banded = members.join(folded.groupBy(F.col("least").alias("member")).agg(F.max("n").alias("n")), "member")
+    banded = banded.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    near = banded.groupBy("block", "band").agg(F.count("*").alias("size"))
+    near = near.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "size")
+    near = near.groupBy("block", "band").agg(F.sum("size").alias("near")).where("near > 1")
+    kept = banded.join(near, ["block", "band"]).select("block", "member")
+    return kept.join(kept.groupBy("block").agg(F.count("*").alias("size")), "block")
+
+
 def _sorted_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
@@ -293,7 +376,7 @@ def ngram_jaccard_join(
     named = texts.where("vertex is not null")
 
     sets = scratch.keep(texts.mapInArrow(_set_rows(size), "vertex long, n long, h1 long, h2 long"), "sets")
-    folded = sets.where("vertex is not null and n > 0").groupBy("h1", "h2").agg(F.min("vertex").alias("least"))
+    folded = sets.where("vertex is not null and n > 0").groupBy("h1", "h2").agg(F.min("vertex").alias("least"), F.max("n").alias("n"))
     folded = scratch.keep(folded, "folded")
 
     counts = named.mapInArrow(_token_counts(size, percent), "token long, count long, least long").groupBy("token")
@@ -317,13 +400,14 @@ def ngram_jaccard_join(
     members = _sorted_by(dealt, buckets, "bucket").mapInArrow(_members, "block long, member long").distinct()
     members = scratch.keep(members, "members")
 
-    large = members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.keep(members.join(large, "block"), "blocks")
+    members = scratch.keep(_fit(_merged_blocks(members), folded, percent), "blocks")
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     places = members.select("member").mapInArrow(_places, "place long, byte long").groupBy("place").agg(F.bit_or("byte").alias("byte"))
     for row in places.toLocalIterator():
         bits[row["place"]] = row["byte"]
     texts_of = named.mapInArrow(_in_filter(bits), named.schema)
+    if not members.where(F.col("size") > BLOCK).isEmpty():
+        members = scratch.keep(_thinned(members, texts_of, size, percent), "thinned")
     # A vertex whose id is repeated stands for all its texts.
     searched = _block_search(size, percent)
 

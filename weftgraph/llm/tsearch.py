@@ -27,18 +27,19 @@ class InvertedIndex:
         self.lists: dict[int, list[int]] = {}
         self.sizes: dict[int, int] = {}
 
-    def add(self, number: int, tokens: list[int]) -> None:
+    def add(self, number: int, tokens: list[int], size: int) -> None:
+        """``tokens`` may leave out those of the set that no query has; ``size`` counts them."""
         lists = self.lists
         for token in tokens:
             if token in lists:
                 lists[token].append(number)
             else:
                 lists[token] = [number]
-        self.sizes[number] = len(tokens)
+        self.sizes[number] = size
 
-    def search(self, tokens: list[int]) -> list[int]:
-        """Numbers of the stored sets whose Jaccard similarity reaches the bound."""
-        n, percent = len(tokens), self.percent
+    def search(self, tokens: list[int], n: int) -> list[int]:
+        """Numbers of the stored sets whose Jaccard similarity to a set of n reaches the bound."""
+        percent = self.percent
         least = -(-percent * n // 100)
         known = self.lists
         found = sorted((known[t] for t in tokens if t in known), key=len)
@@ -113,7 +114,7 @@ class Sets:
         return x != y
 
 
-def block_links(sets: list[list[int]], labels: list, queries: list[bool] | None, percent: int) -> list[tuple[int, int]]:
+def block_links(sets: list[list[int]], sizes: list[int], labels: list, queries: list[bool] | None, percent: int) -> list[tuple[int, int]]:
     """Links (x, y) that join all similar members of one block, as a forest.
 
     ``labels``: members of one label count as joined already.  Without
@@ -128,14 +129,14 @@ def block_links(sets: list[list[int]], labels: list, queries: list[bool] | None,
     if queries is None:
         leaders, followers = InvertedIndex(percent), False
         for x, tokens in enumerate(sets):
-            hits = leaders.search(tokens)
+            hits = leaders.search(tokens, sizes[x])
             for y in hits:
                 if joined.join(x, y):
                     links.append((x, y))
             if hits:
                 followers = True
             else:
-                leaders.add(x, tokens)
+                leaders.add(x, tokens, sizes[x])
         counts = Counter(map(joined.root, range(len(sets))))
         if not followers or len(counts) == 1:
             return links
@@ -143,10 +144,10 @@ def block_links(sets: list[list[int]], labels: list, queries: list[bool] | None,
         queries = [joined.root(x) != largest for x in range(len(sets))]
     index = InvertedIndex(percent)
     for x, tokens in enumerate(sets):
-        index.add(x, tokens)
+        index.add(x, tokens, sizes[x])
     for x, asked in enumerate(queries):
         if asked:
-            for y in index.search(sets[x]):
+            for y in index.search(sets[x], sizes[x]):
                 if joined.join(x, y):
                     links.append((x, y))
     return links
