@@ -74,6 +74,10 @@ class Prop:
             return F.when(self.col.isNotNull(), F.lit(False))
         field = {"str": "txt", "bool": "bool", "num": "num"}[tag]
         same = (self.col["t"] == tag) & (self.col[field] == F.lit(float(value) if tag == "num" else value))
+        if tag == "num":
+            # A number that a double would not spell the same is compared by its own text.
+            exact = F.lit(repr(value)).try_cast("decimal(38,15)")
+            same = same | ((self.col["t"] == "numx") & (self.col["txt"].try_cast("decimal(38,15)") == exact))
         return F.when(self.col.isNotNull(), F.coalesce(same, F.lit(False)))
 
     def key(self) -> Column:
