@@ -6,8 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .builder import end_ids, end_kinds, node_ids, node_kinds, node_property, rel_kinds, start_ids, start_kinds
+from .model import Graph
+from .sources.documents import free_graph
 from .sources.relational import commerce_graph
+from .streaming import changelog as C
 
 
 @dataclass(frozen=True)
@@ -177,6 +182,117 @@ QUERIES: dict[str, Named] = {
 }
 
 
+#: Queries over events as nodes with their JSON properties.
+JSON_QUERIES: dict[str, Named] = {
+    "json_number_equals": Named("MATCH (e:click) WHERE e.k = 7 RETURN id(e) AS id", "SELECT event_id AS id FROM events WHERE event_type = 'click' AND (props->>'k')::BIGINT = 7"),
+    "json_number_order": Named("MATCH (e) WHERE e.k < 20 AND e.k >= 5 RETURN count(e) AS n", "SELECT count(*) AS n FROM events WHERE (props->>'k')::BIGINT < 20 AND (props->>'k')::BIGINT >= 5"),
+    "json_text_list": Named("MATCH (e) WHERE e.k IN ['3', '14'] RETURN count(e) AS n", "SELECT count(*) AS n FROM events WHERE props->>'k' IN ('3', '14')"),
+    "json_absent": Named("MATCH (e) WHERE e.missing IS NULL AND NOT e.missing CONTAINS 'x' RETURN count(e) AS n", "SELECT count(*) AS n FROM events"),
+    "json_type_mismatch": Named("MATCH (e) WHERE e.k <> 'text' RETURN count(e) AS n", "SELECT count(*) AS n FROM events WHERE props->>'k' IS NOT NULL"),
+    "json_group": Named("MATCH (e:purchase) RETURN e.k AS k, count(e) AS n", "SELECT props->>'k' AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1"),
+    "json_hop": Named("MATCH (a)-[:NEXT]->(b) WHERE a.k = b.k RETURN count(*) AS n",
+        f"WITH {_NEXT} SELECT count(*) AS n FROM ne JOIN events x ON x.event_id = ne.a JOIN events y ON y.event_id = ne.b WHERE x.props->>'k' = y.props->>'k'"),
+    "json_arithmetic": Named("MATCH (e) WHERE e.k * 2 + 1 = 15 RETURN count(e) AS n", "SELECT count(*) AS n FROM events WHERE (props->>'k')::DOUBLE * 2 + 1 = 15"),
+}
+
+
+def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Events as nodes of a free-form graph, each linked to its user's next."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    nodes = events.select(F.col("event_id").alias("id"), F.array("event_type").alias("kinds"), F.col("props").alias("properties"))
+    following = commerce_graph(spark, sf_dir).edges(("NEXT",))
+    base = 7 * 10**12
+    edges = following.select("id", (F.col("src") - base).alias("src"), (F.col("dst") - base).alias("dst"), "kind", F.lit(None).cast("string").alias("properties"))
+    return free_graph(nodes, edges)
+
+
+def _one(spark: SparkSession, name: str, value: int) -> DataFrame:
+    return spark.range(1).select(F.lit(value).cast("bigint").alias(name))
+
+
+def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and nations as base tables of a change log."""
+    graph = commerce_graph(spark, sf_dir)
+    nodes = graph.nodes(("Customer",)).union(graph.nodes(("Nation",))).select("id", "kinds", F.lit("{}").alias("properties"))
+    edges = graph.edges(("IN_NATION",)).select("id", "src", "dst", "kind", F.lit(None).cast("string").alias("properties"))
+    return nodes, edges.where(F.col("src") < 4 * 10**12)
+
+
+def _log(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Customers of keys ending in 3 go; every edge to nation 1 goes and comes back as another kind."""
+    moved = edges.where("dst = 2000000000001").withColumn("kind", F.lit("LEFT"))
+    log = C.delete_nodes(nodes.where("id >= 3000000000000 and id % 10 = 3"), 1)
+    return log.union(C.delete_edges(edges.where("dst = 2000000000001").select("id"), 2)).union(C.put_edges(moved, 3))
+
+
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _base(spark, sf_dir)
+    _, walked = C.merged_view(nodes, edges, _log(nodes, edges))
+    return walked.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    bag = lambda *c: F.to_json(F.struct(F.col("c_name").alias("objectid"), *c))
+    nodes = customer.select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("kinds"), bag().alias("properties"))
+    rows = customer.where("c_custkey % 7 = 0").select(F.array(F.lit("Seen")).alias("kinds"), bag(F.lit(1).alias("seen")).alias("properties"))
+    live, _ = C.merged_view(nodes, nodes.select("id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("X").alias("kind"), "properties").where("false"), C.upsert_nodes(nodes, rows, 1))
+    return live.groupBy(F.size("kinds").alias("kinds"), F.get_json_object("properties", "$.seen").alias("seen")).agg(F.count("*").alias("n"))
+
+
+#: Builder and change-log queries: (function, SQL).
+BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "builder_node_count": (
+        lambda spark, d: _one(spark, "n", commerce_graph(spark, d).builder().nodes().filter(node_kinds("Region", "Nation")).count()),
+        "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n",
+    ),
+    "builder_node_ids": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_kinds("Customer"), node_kinds("VIP")).fetch_ids(),
+        "SELECT 3000000000000 + c_custkey AS id FROM customer WHERE c_acctbal > 9000",
+    ),
+    "builder_node_property": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_kinds("Part"), node_property("size", "<", 5)).fetch_ids(),
+        "SELECT 5000000000000 + p_partkey AS id FROM part WHERE p_size < 5",
+    ),
+    "builder_node_by_ids": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_ids(2000000000001, 2000000000002)).fetch_ids(),
+        "SELECT 2000000000000 + n_nationkey AS id FROM nation WHERE n_nationkey IN (1, 2)",
+    ),
+    "builder_rel_count": (
+        lambda spark, d: _one(spark, "n", commerce_graph(spark, d).builder().relationships().filter(rel_kinds("IN_NATION"), start_kinds("Supplier")).count()),
+        "SELECT count(*) AS n FROM supplier",
+    ),
+    "builder_rel_triples": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("PLACED"), start_kinds("VIP")).fetch_triples(),
+        "SELECT 300000000000000000 + o_orderkey AS id, 3000000000000 + o_custkey AS src, 6000000000000 + o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000",
+    ),
+    "builder_rel_kinds": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(start_ids(3000000000007)).fetch_kinds().groupBy("kind").agg(F.count("*").alias("n")),
+        "SELECT * FROM (SELECT 'IN_NATION' AS kind, count(*) AS n FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'PLACED', count(*) FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'DID', count(*) FROM events WHERE user_id = 7) WHERE n > 0",
+    ),
+    "builder_step_out": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("IN_REGION"), end_kinds("Region")).fetch_step().select("node_id", F.element_at("node_kinds", 1).alias("kind"), "rel_id"),
+        "SELECT 1000000000000 + n_regionkey AS node_id, 'Region' AS kind, 100000000000000000 + n_nationkey AS rel_id FROM nation",
+    ),
+    "builder_directed_graph": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("SUPPLIED_BY")).fetch_directed_graph(),
+        "SELECT DISTINCT 5000000000000 + l_partkey AS src, 4000000000000 + l_suppkey AS dst FROM lineitem",
+    ),
+    "builder_shortest_paths": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(start_ids(3000000000003), end_ids(1000000000000), rel_kinds("IN_NATION", "IN_REGION")).fetch_all_shortest_paths().select(F.element_at("nodes", 2).alias("via"), F.size("edges").alias("d")),
+        "SELECT 2000000000000 + c_nationkey AS via, 2::INT AS d FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 3 AND n_regionkey = 0",
+    ),
+    "delta_merged_view": (
+        _delta,
+        "SELECT kind, count(*) AS n, min(id) AS first FROM (SELECT CASE WHEN c_nationkey = 1 THEN 'LEFT' ELSE 'IN_NATION' END AS kind, 200000000000000000 + c_custkey AS id FROM customer WHERE c_custkey % 10 <> 3) GROUP BY 1",
+    ),
+    "delta_upsert": (
+        _upserted,
+        "SELECT (CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END)::INT AS kinds, CASE WHEN c_custkey % 7 = 0 THEN '1' END AS seen, count(*) AS n FROM customer GROUP BY 1, 2",
+    ),
+}
+
+
 def _asked(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = QUERIES[name]
@@ -185,6 +301,10 @@ def _asked(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _asked_json(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: event_graph(spark, sf_dir).query(JSON_QUERIES[name].text)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.mktsegment = 'FURNITURE' RETURN n.name AS nation, count(c) AS customers"
     return commerce_graph(spark, sf_dir).query(text)
@@ -194,11 +314,13 @@ FLAGSHIP_SQL = "SELECT n_name AS nation, count(*) AS customers FROM customer JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship} | {name: _asked(name) for name in QUERIES}
+    out = {"flagship": flagship} | {name: _asked(name) for name in QUERIES} | {name: _asked_json(name) for name in JSON_QUERIES}
+    return out | {name: run for name, (run, _) in BUILT.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": FLAGSHIP_SQL} | {name: q.sql for name, q in QUERIES.items()}
+    out = {"flagship": FLAGSHIP_SQL} | {name: q.sql for name, q in (QUERIES | JSON_QUERIES).items()}
+    return out | {name: sql for name, (_, sql) in BUILT.items()}
 
 
 __all__ = ["QUERIES", "flagship", "oracle_sql", "queries"]
