@@ -61,6 +61,16 @@ def delete_edges_by_kinds(edges: DataFrame, seq: int | Column, kinds: list[str])
     return delete_edges(edges.where(F.col("kind").isin(kinds)), seq)
 
 
+def wipe(nodes: DataFrame, seq: int | Column) -> DataFrame:
+    """Tombstones of all nodes; all edges are hidden with them."""
+    return delete_nodes(nodes, seq)
+
+
+def after(log: DataFrame, sequence: int) -> DataFrame:
+    """Changes that a base saved at ``sequence`` does not hold yet, for replay on it."""
+    return log.where(F.col("seq") > sequence)
+
+
 def _key(properties: str) -> Column:
     return F.get_json_object(properties, "$.objectid")
 
