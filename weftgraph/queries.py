@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,25 @@ from pyspark.sql import functions as F
 from .builder import end_ids, end_kinds, node_ids, node_kinds, node_property, rel_kinds, start_ids, start_kinds
 from .model import Graph
 from .sources.documents import free_graph
-from .sources.relational import commerce_graph
+from .sources import relational
 from .streaming import changelog as C
 
 
+_SESSIONS: dict[str, SparkSession] = {}
+
+
+@lru_cache(maxsize=8)
+def _graph(application: str, sf_dir: str) -> Graph:
+    return relational.commerce_graph(_SESSIONS[application], sf_dir)
+
+
+def commerce_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over a folder of tables; its schemas are looked up once for each application."""
+    application = spark.sparkContext.applicationId
+    _SESSIONS[application] = spark
+    return _graph(application, sf_dir)
+
+
 @dataclass(frozen=True)
 class Named:
     text: str
