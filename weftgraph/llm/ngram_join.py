@@ -42,6 +42,8 @@ FILTER_BITS = 1 << 24
 #: Shingle postings that one bucket is meant to hold.
 BUCKET = 1_500_000
 ROUNDS = 40
+#: Copies of the members that the exhaustive step may send without a round of leaders before it.
+REPEAT = 8
 
 
 def _prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
@@ -71,23 +73,6 @@ def _set_key(tokens: np.ndarray) -> tuple[int, int]:
     return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
 
 
-def _set_rows(size: int):
-    """(vertex, n, h1, h2) of each document."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h1, h2 = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, size)
-                high, low = _set_key(tokens)
-                n.append(len(tokens))
-                h1.append(high)
-                h2.append(low)
-            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["vertex", "n", "h1", "h2"])
-
-    return rows
-
-
 def _token_counts(size: int, percent: int):
     """(token, count, least vertex) of the prefixes in hash order, summed by batch."""
 
@@ -109,18 +94,20 @@ def _token_counts(size: int, percent: int):
 
 
 def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
-    """(vertex, h1, h2, prefix) of each document that has shingles."""
+    """(vertex, n, h1, h2, prefix) of each document: its set's size, key and prefix."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"vertex": [], "h1": [], "h2": [], "prefix": []}
-            for vertex, text in zip(batch.column("vertex").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            n, h1, h2, prefix = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, size)
-                if len(tokens):
-                    high, low = _set_key(tokens)
-                    for name, value in zip(out, (vertex, high, low, _prefix(tokens, percent, frequent).tobytes()), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["vertex"], pa.int64()), pa.array(out["h1"], pa.int64()), pa.array(out["h2"], pa.int64()), pa.array(out["prefix"], pa.binary())], names=list(out))
+                high, low = _set_key(tokens)
+                n.append(len(tokens))
+                h1.append(high)
+                h2.append(low)
+                prefix.append(_prefix(tokens, percent, frequent).tobytes())
+            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], names=["vertex", "n", "h1", "h2", "prefix"])
 
     return rows
 
@@ -375,10 +362,6 @@ def ngram_jaccard_join(
     texts = _texts(docs, id_col, text_col)
     named = texts.where("vertex is not null")
 
-    sets = scratch.keep(texts.mapInArrow(_set_rows(size), "vertex long, n long, h1 long, h2 long"), "sets")
-    folded = sets.where("vertex is not null and n > 0").groupBy("h1", "h2").agg(F.min("vertex").alias("least"), F.max("n").alias("n"))
-    folded = scratch.keep(folded, "folded")
-
     counts = named.mapInArrow(_token_counts(size, percent), "token long, count long, least long").groupBy("token")
     counts = counts.agg(F.sum("count").alias("count"), F.min("least").alias("least")).where(F.col("count") >= SELDOM)
     counts = scratch.keep(counts, "counts")
@@ -392,8 +375,11 @@ def ngram_jaccard_join(
     rows = counts.where(F.col("count") >= bound).limit(FREQUENT).collect()
     frequent = np.array(sorted((r["token"] % (1 << 64), r["least"]) for r in rows), dtype=[("token", np.uint64), ("least", np.int64)])
 
-    prefixes = named.mapInArrow(_prefix_rows(size, percent, frequent["token"].copy()), "vertex long, h1 long, h2 long, prefix binary")
-    prefixes = prefixes.join(folded.select("h1", "h2", F.col("least").alias("vertex")), ["vertex", "h1", "h2"], "left_semi")
+    sets = texts.mapInArrow(_prefix_rows(size, percent, frequent["token"].copy()), "vertex long, n long, h1 long, h2 long, prefix binary")
+    sets = scratch.keep(sets, "sets")
+    folded = sets.where("vertex is not null and n > 0").groupBy("h1", "h2").agg(F.min("vertex").alias("least"), F.max("n").alias("n"))
+    folded = scratch.keep(folded, "folded")
+    prefixes = sets.where("n > 0").select("vertex", "h1", "h2", "prefix").join(folded.select("h1", "h2", F.col("least").alias("vertex")), ["vertex", "h1", "h2"], "left_semi")
     postings = sets.where("vertex is not null").agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(parts, int(postings // BUCKET))
     dealt = prefixes.select("vertex", "prefix").mapInArrow(_dealt(buckets, frequent), "bucket long, tokens binary, vertices binary")
@@ -428,18 +414,22 @@ def ngram_jaccard_join(
         labelled = scratch.keep(labelled.join(open_blocks.select("block"), "block"), f"open-{turn}")
         if labelled.isEmpty():
             break
-        leaders = labelled.groupBy("block", "part", "label").agg(F.min("member").alias("member"))
-        sizes = leaders.groupBy("block").agg(F.count("*").alias("size"))
-        leaders = leaders.drop("part").join(sizes, "block").select("block", part.alias("part"), F.col("member").alias("vertex"), "label", F.lit(None).cast("boolean").alias("asked"))
-        found = search(leaders, f"leaders-{turn}")
-        links = scratch.keep(links.union(found), f"links-{turn}")
-        before, roots = roots, connected_components(links, scratch, f"roots-{turn}")
-        if before.count() != roots.count() or before.exceptAll(roots).limit(1).count():
-            continue
-        # No leader joined another: the members outside each block's largest component are asked of all parts.
         by_label = labelled.groupBy("block", "label").agg(F.count("*").alias("n"))
-        largest = by_label.groupBy("block").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"), F.sum("n").alias("size"))
-        rest = labelled.join(largest, "block").where("label <> largest")
+        largest = by_label.groupBy("block").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+        largest = largest.select("block", F.col("top.label").alias("largest"), F.col("top.n").alias("n"), "size")
+        sent, held = largest.agg(F.sum((F.col("size") - F.col("n")) * F.ceil(F.col("size") / BLOCK)), F.sum("size")).first()
+        if sent > REPEAT * held:
+            # Too many rows to ask of all parts: let the parts' leaders join components first.
+            leaders = labelled.groupBy("block", "part", "label").agg(F.min("member").alias("member"))
+            sizes = leaders.groupBy("block").agg(F.count("*").alias("size"))
+            leaders = leaders.drop("part").join(sizes, "block").select("block", part.alias("part"), F.col("member").alias("vertex"), "label", F.lit(None).cast("boolean").alias("asked"))
+            found = search(leaders, f"leaders-{turn}")
+            links = scratch.keep(links.union(found), f"links-{turn}")
+            before, roots = roots, connected_components(links, scratch, f"roots-{turn}")
+            if before.count() != roots.count() or before.exceptAll(roots).limit(1).count():
+                continue
+        # The members outside each block's largest component are asked of all parts.
+        rest = labelled.join(largest.drop("n"), "block").where("label <> largest")
         wide = rest.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)).alias("part"), F.col("member").alias("vertex"), "label", F.lit(True).alias("asked"))
         all_rows = labelled.select("block", "part", F.col("member").alias("vertex"), "label", F.lit(False).alias("asked"))
         rest_rows = wide.join(all_rows.select("block", "part", "vertex"), ["block", "part", "vertex"], "left_anti")
