@@ -46,10 +46,14 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, lea
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "bytes": F.octet_length("body").cast("long")})
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    joined = rows.join(first.withColumnsRenamed({"digest": "d", "bytes": "b"}), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left").drop("d", "b")
+    rows = rows.withColumn("key", F.xxhash64("id", "digest"))
+    # Who comes first is settled on narrow rows; pages themselves are shuffled once.
+    narrow = rows.select("key", "id", "digest", "bytes").distinct()
+    first = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
+    firsts = narrow.join(first, ["digest", "bytes"]).select(F.col("key").alias("key_of"), F.col("digest").alias("of"), "first")
+    joined = rows.join(firsts, (F.col("key") == F.col("key_of")) & (F.col("digest") == F.col("of")), "left")
     # Rows that repeat the first one's id: one of them is the response.
-    among = Window.partitionBy("id", "digest").orderBy("url")
+    among = Window.partitionBy("key", "id", "digest").orderBy("url")
     again = (F.col("id") == F.col("first")) & (F.row_number().over(among) == 1)
     kind = F.when(F.col("first").isNull() | again, "response").otherwise("revisit")
     return joined.select("id", "url", "body", "digest", "bytes", kind.alias("type"), F.when(kind == "revisit", F.col("first")).alias("refers_to"))
