@@ -29,6 +29,27 @@ def test_main_text():
     assert main_text("<div>" * 3000 + "<p>deep text in here</p>") == "deep text in here"
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div", "body"])
+def test_all_of_the_container_is_kept(around):
+    wrap = lambda inner: f"<body><{around}>{inner}</{around}></body>" if around != "body" else f"<body>{inner}</body>"
+    line = lambda n, k: f"{k:02d}" + "x" * (n - 2)
+    blocks = [line(50, 0), line(150, 1), line(150, 2), *(line(100, 3 + k) for k in range(20))]
+    page = f"<h1>{blocks[0]}</h1><p>{blocks[1]}</p><p>{blocks[2]}</p><ul>" + "".join(f"<li>{b}</li>" for b in blocks[3:]) + "</ul>"
+    assert main_text(wrap(page)).split("\n\n") == blocks
+    a, b = [line(300, k) for k in range(10)], [line(100, 10 + k) for k in range(3)]
+    sections = "".join("<section>" + "".join(f"<p>{t}</p>" for t in part) + "</section>" for part in (a, b))
+    assert main_text(wrap("<i>lead</i> text" + sections + "<table><tr><td>a<td>b</table>")).split("\n\n") == ["lead text", *a, *b, "a", "b"]
+
+
+def test_beside_the_container():
+    links = "<ul>" + "".join(f"<li><a href={k}>link {k}</a>" for k in range(30)) + "</ul>"
+    text = "".join(f"<p>{'text ' * 40}</p>" for _ in range(5))
+    kept = [("text " * 40).strip()] * 5
+    assert main_text(f"<body><div>{links}</div><div><h1>Head</h1>{text}</div></body>").split("\n\n") == ["Head", *kept]
+    assert main_text(f"<body><article>{text}</article><article><p>short one</p></article><div>{links}</div></body>").split("\n\n") == [*kept, "short one"]
+    assert main_text(f"<body>{'standing free ' * 40}<article>{text}</article></body>").split("\n\n") == [("standing free " * 40).strip(), *kept]
+
+
 def test_extraction_rows(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = extract_main_text(rows).collect()

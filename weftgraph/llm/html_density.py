@@ -2,10 +2,12 @@
 
 Every node's density is its characters per tag, lowered by the share of
 characters and tags inside links.  The node whose children's densities have
-the largest sum holds the content; the least density on its path to the body
-is the threshold, and of every subtree that reaches it the part with the
-largest sum is kept.  Elements that HTML itself or their class or id name as
-page furniture are left out before.
+the largest sum only finds the container of the content: the outermost article
+or main around it, else the highest element above it that adds text and not
+mostly links, or keeps half of the density.  All of the container is kept,
+and beside it every article, every block and every line of text that reaches
+the least density on the path to the body.  Elements that HTML itself or their
+class or id name as page furniture are left out before.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 _INLINE = frozenset("a abbr br wbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
+#: Elements that HTML names as content: all in them is kept.
+_WHOLE = frozenset(("article", "main"))
 #: An open element of the key is closed by a start tag of the set, inside the nearest of the bounds.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "tbody", "tfoot"}, {"table"}), "td": ({"td", "th", "tr", "tbody"}, {"table"}), "th": ({"td", "th", "tr", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
 _FURNITURE = re.compile(
@@ -100,6 +104,27 @@ def parse(page: str) -> Node:
     return root
 
 
+def _count(node: Node) -> None:
+    """Characters and tags of a node whose children have theirs."""
+    for part in node.parts:
+        if isinstance(part, str):
+            node.chars += len("".join(part.split()))
+        elif not part.skipped:
+            node.chars += part.chars
+            node.tags += part.tags + 1
+            node.link_chars += part.link_chars
+            node.link_tags += part.link_tags
+    if node.tag == "a":
+        node.link_chars, node.link_tags = node.chars, node.tags + 1
+
+
+def _weigh(node: Node, share: float) -> None:
+    chars, links = node.chars, node.link_chars
+    if chars:
+        base = max(e, chars * links / max(1, chars - links) + share * chars + e)
+        node.density = chars / max(1, node.tags) * log(max(1.0, chars / max(1, links) * max(1, node.tags) / max(1, node.link_tags)) + 1) / log(base)
+
+
 def _measure(root: Node) -> None:
     """Counts and densities, children before parents, without recursion."""
     order, queue = [], [root]
@@ -108,23 +133,11 @@ def _measure(root: Node) -> None:
         order.append(node)
         queue += [p for p in node.parts if isinstance(p, Node) and not p.skipped]
     for node in reversed(order):
-        for part in node.parts:
-            if isinstance(part, str):
-                node.chars += len("".join(part.split()))
-            elif not part.skipped:
-                node.chars += part.chars
-                node.tags += part.tags + 1
-                node.link_chars += part.link_chars
-                node.link_tags += part.link_tags
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
+        _count(node)
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(1, body.chars)
     for node in order:
-        chars, links = node.chars, node.link_chars
-        if chars:
-            base = max(e, chars * links / max(1, chars - links) + share * chars + e)
-            node.density = chars / max(1, node.tags) * log(max(1.0, chars / max(1, links) * max(1, node.tags) / max(1, node.link_tags)) + 1) / log(base)
+        _weigh(node, share)
     # Marks inside a line are tags of their block, not parts of the page of their own.
     for node in order:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.skipped and p.tag not in _INLINE)
@@ -134,15 +147,48 @@ def _children(node: Node) -> list[Node]:
     return [p for p in node.parts if isinstance(p, Node) and not p.skipped]
 
 
-def _largest(node: Node) -> tuple[Node, list[Node]]:
-    """The node of the largest density sum under ``node`` and its path to it."""
-    best, path, queue = node, [node], [(node, [node])]
+def _path(body: Node) -> list[Node]:
+    """The way from the body to the node of the largest density sum."""
+    best, above, queue = body, {}, [body]
     while queue:
-        now, way = queue.pop()
+        now = queue.pop()
         if now.total > best.total:
-            best, path = now, way
-        queue += [(c, [*way, c]) for c in reversed(_children(now)) if c.parts and c.tag not in _INLINE]
-    return best, path
+            best = now
+        for child in reversed(_children(now)):
+            if child.parts and child.tag not in _INLINE:
+                above[child] = now
+                queue.append(child)
+    path = [best]
+    while path[-1] in above:
+        path.append(above[path[-1]])
+    return path[::-1]
+
+
+def _container(path: list[Node]) -> Node:
+    """What holds the whole content around the last node of the path."""
+    for node in path:
+        if node.tag in _WHOLE:
+            return node
+    node = path[-1]
+    for parent in reversed(path[:-1]):
+        linked = 2 * (parent.link_chars - node.link_chars) > parent.chars - node.chars
+        if linked and 2 * parent.density < path[-1].density:
+            break
+        node = parent
+    return node
+
+
+def _lines(node: Node) -> list[Node]:
+    """The parts of a node, each run of text and inline elements as a node of its own."""
+    out: list[Node] = []
+    for part in node.parts:
+        if isinstance(part, Node) and part.tag not in _INLINE:
+            out.append(part)
+            continue
+        if not out or out[-1].tag:
+            out.append(Node(""))
+        out[-1].parts.append(part)
+    return out
 
 
 def _blocks(node: Node, out: list[str], inline: list[str]) -> None:
@@ -183,18 +229,23 @@ def main_text(page: str | None) -> str:
     if not root.chars:
         return ""
     body = next((c for c in _children(root) if c.tag == "body"), root)
-    best, path = _largest(body)
-    threshold = min(n.density for n in path)
+    path = _path(body)
+    container, threshold, above = _container(path), min(n.density for n in path), set(path)
+    share = body.link_chars / max(1, body.chars)
     kept, queue = [], [body]
     while queue:
         node = queue.pop()
-        if node is best:
+        if not node.tag:
+            _count(node)
+            _weigh(node, share)
+        if node.skipped:
+            continue
+        if node is container:
+            kept.append(node)
+        elif node in above:
+            queue += reversed(_lines(node))
+        elif node.chars > node.link_chars and (node.tag in _WHOLE or node.density >= threshold and (not node.tag or node.tag in _BLOCK)):
             kept.append(node)
-        elif node in path:
-            queue += reversed(_children(node))
-        elif node.density >= threshold and node.chars > node.link_chars and node.tag in _BLOCK:
-            # A dense subtree beside the path: its own part of the largest sum, the whole if it has no children.
-            kept.append(_largest(node)[0] if node.total else node)
     out: list[str] = []
     for node in kept:
         _blocks(node, out, [])
