@@ -41,6 +41,43 @@ def test_all_of_the_container_is_kept(around):
     assert main_text(wrap("<i>lead</i> text" + sections + "<table><tr><td>a<td>b</table>")).split("\n\n") == ["lead text", *a, *b, "a", "b"]
 
 
+KEPT = [
+    "<figure><img src=a><figcaption>words</figcaption></figure>",
+    "<figure><blockquote>words</blockquote></figure>",
+    "<fieldset><legend>words</legend></fieldset>",
+    "<p><label>words</label>",
+    "<map><p>words</p></map>",
+    "<p><math><mi>words</mi><annotation>tex</annotation></math>",
+    "<noscript><p>words</p></noscript>",
+    "<object data=a><p>words</p></object>",
+    "<h2 id='related-work'>words</h2>",
+    "<h2 class=header>words</h2>",
+    "<h3 id=comments>words</h3>",
+    "<section id='social-history'><p>words</p></section>",
+    "<section class=related><p>words</p></section>",
+    "<div class='section-header'><h2>words</h2></div>",
+    "<div class=navy>words</div>",
+    "<div class='reply-rates share-prices widget-theory'>words</div>",
+    "<p class='notice'>words</p>",
+    "<section id=navigation><p>words</p></section>",
+    "<section id=cookie-policy><p>words</p></section>",
+]
+CUT = ["<div class=comments>words</div>", "<ul class='box share-buttons'><li>words</ul>", "<div id=related-posts><p>words</p></div>", "<div role=navigation>words</div>", "<nav>words</nav>", "<div class=ad>words</div>"]
+
+
+@pytest.mark.parametrize("part", KEPT + CUT)
+def test_names_of_furniture(part):
+    long = "text " * 40
+    got = main_text(f"<body><article><p>{long}</p>{part}<p>{long}</p></article></body>").split("\n\n")
+    assert got == [long.strip(), *(["words"] if part in KEPT else []), long.strip()]
+
+
+def test_names_beside_the_content():
+    long = "text " * 40
+    cut = "".join(f"<div class={name}>{long}</div>" for name in ("header", "site-header", "footer-links", "share", "widget", "navbar"))
+    assert main_text(f"<body>{cut}<div class=navy><h2 class=section-header>Head</h2><p>{long}</p></div></body>") == f"Head\n\n{long.strip()}"
+
+
 def test_beside_the_container():
     links = "<ul>" + "".join(f"<li><a href={k}>link {k}</a>" for k in range(30)) + "</ul>"
     text = "".join(f"<p>{'text ' * 40}</p>" for _ in range(5))

@@ -22,18 +22,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noframes".split())
-_SKIP = _RAW | frozenset("head nav header footer aside form button select option menu dialog fieldset label canvas audio video figure map".split())
+_RAW = frozenset("script style textarea title template iframe svg xmp noframes".split())
+_SKIP = _RAW | frozenset("head nav header footer aside form button select option menu dialog canvas audio video annotation annotation-xml".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-_INLINE = frozenset("a abbr br wbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
+_INLINE = frozenset("a abbr br wbr b bdi bdo big cite code del dfn em font i ins kbd label map mark math mfrac mi mn mo mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover mover object q s samp semantics small span strike strong sub sup tt u var".split())
 #: Elements that HTML names as content: all in them is kept.
 _WHOLE = frozenset(("article", "main"))
+#: Elements that no name makes furniture.
+_NEVER = _WHOLE | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key is closed by a start tag of the set, inside the nearest of the bounds.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "tbody", "tfoot"}, {"table"}), "td": ({"td", "th", "tr", "tbody"}, {"table"}), "th": ({"td", "th", "tr", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
+#: Whole names (of a class list, an id or a role) of page furniture, wherever it stands.
 _FURNITURE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|notice|newsletter|subscribe|popup|modal|nav\w*|menu|breadcrumbs?|side-?bar|footer|header|masthead|toolbar|share|sharing|social|related|recommend\w*|comments?|disqus|respond|reply|replies|widget|pagination|pager|skip-link)(?:$|[\s_-])"
+    r"(?i)ads?|ad[_-]?(?:box|slot|unit|banner|container|wrapper|block|space|label)s?|advert(?:s|isements?|ising)?|sponsor(?:ed)?[_-](?:links?|content|posts?)|promo[_-]?(?:box|banner|bar)"
+    r"|cookies?[_-]?(?:notice|banner|consent|bar|popup|message)|(?:gdpr|consent)[_-](?:notice|banner|bar|popup)|newsletter(?:[_-](?:sign-?up|form|box|subscribe|subscription))?|skip-?link|skip-to-content"
+    r"|nav|nav[_-]?(?:bar|menu|links?|list|items?|wrapper|container)|navigation|(?:site|page|main|global|top|bottom|post|posts|primary|secondary|mobile)[_-]?nav(?:igation|bar)?|breadcrumbs?(?:[_-](?:nav|list|trail))?|pagination"
+    r"|menubar|(?:site|main|global|top|mobile|primary)[_-]menu|menu[_-](?:items?|list|bar|wrapper)|side-?bar(?:[_-](?:left|right|inner|wrapper|widget))?|(?:left|right|primary|secondary)[_-]side-?bar|site[_-](?:header|footer|banner)"
+    r"|comments|comments?[_-](?:list|section|area|form|thread|wrapper|box)|disqus(?:_thread|_comments)?|(?:post|reader|user|article)[_-]comments|comment[_-]?respond"
+    r"|(?:share|sharing|social)[_-](?:buttons?|links?|bar|icons?|tools|widgets?|media|share)|social[_-]media[_-](?:links|icons)|(?:post|article|social)[_-](?:share|sharing)|sharedaddy"
+    r"|(?:related|recommended)[_-](?:posts?|articles?|links?|stories|content|items|products|reading)"
+)
+#: Names that are furniture beside the content but may name its parts inside an article or main.
+_OUTSIDE = re.compile(
+    r"(?i)(?:page|global|top|bottom|main)?[_-]?(?:header|footer)|(?:header|footer)[_-](?:links?|bar|menu|list|wrapper|container|inner|top|bottom|nav|widgets?)|banner|contentinfo|cookies?|menu|masthead|modal|pager|popup|promo|recommendations|respond|toolbar|complementary|search|sponsors?|sponsored|notice|consent|subscribe|share|sharing|social|related|recommend(?:ed|s)?|comment|reply|replies|widgets?|widget[_-]area"
 )
 _HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)")
 _NAMED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -51,6 +64,18 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _furniture(tag: str, attributes: str, stack: list[Node]) -> bool:
+    """Whether a class, id or role names an element in the open ``stack`` as page furniture."""
+    names = [name for a, b, c in _NAMED.findall(attributes) for name in (a or b or c).split()]
+    sure = [name for name in names if _FURNITURE.fullmatch(name)]
+    if not sure and not any(_OUTSIDE.fullmatch(name) for name in names):
+        return False
+    if not any(n.tag in _WHOLE for n in stack):
+        return True
+    # A section of an article may be about menus or navigation; names of two words say more.
+    return bool(sure) and (tag != "section" or any(name.lower() == "comments" or re.search("[_-]", name) for name in sure))
+
+
 def parse(page: str) -> Node:
     """The element tree; unclosed elements end with their parents, stray end tags are ignored."""
     root = Node("html")
@@ -93,7 +118,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in closes:
                     del stack[k:]
                     break
-        named = any(_FURNITURE.search(a or b or c) for a, b, c in _NAMED.findall(found[3])) if "=" in found[3] and tag not in ("html", "body", "article", "main") else False
+        named = "=" in found[3] and tag not in _NEVER and _furniture(tag, found[3], stack)
         node = Node(tag, tag in _SKIP or named or bool(found[3] and tag != "body" and _HIDDEN.search(found[3])))
         stack[-1].parts.append(node)
         if tag in _RAW:
