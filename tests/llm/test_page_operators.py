@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from weftgraph.llm import secret_scan
 from weftgraph.llm.html_density import extract_main_text, main_text
 from weftgraph.llm.secret_scan import KINDS, scan, scan_secrets
 from weftgraph.llm.warc import END, MAGIC, read_warc, record_chain, warc_round_trip
@@ -161,6 +163,24 @@ def test_secret_scan(spark):
     assert scan_secrets(docs.where("false")).count() == 0
 
 
+def test_long_candidates_are_scored_whole(spark):
+    for n in (16, 64, 65, 96, 97, 1000):
+        shown = secret_scan.pieces(5, 5 + n)
+        assert (shown[0][0], shown[-1][1]) == (5, 5 + n) and all(e - s <= secret_scan.INSIDE for s, e in shown)
+        assert all(b - a <= secret_scan.STRIDE for (a, _), (b, _) in zip(shown, shown[1:]))
+    # The finding at the end of a path labels the piece that shows it, not the harmless ones before.
+    labels = [label for label, _ in secret_scan.labelled_pieces("see " + "path/to/" * 20 + "0123456789abcdef" * 2)]
+    assert labels[-1] and not any(labels[:3])
+    # A network that looks for five digits in a row.
+    net = secret_scan.Network(np.zeros((secret_scan.CLASSES, secret_scan.EMBED)), np.zeros((secret_scan.SPAN * secret_scan.EMBED, secret_scan.FILTERS)), np.full(secret_scan.FILTERS, -4.0), np.full(secret_scan.FILTERS, 1.0), -5.0, threshold=0.5)
+    net.embed[[secret_scan._CLASS[ord(c)] for c in "05"], 0] = 1
+    net.kernel[:: secret_scan.EMBED] = 1
+    path = "path/to/some/longer/page/of/words/"
+    rows = [(1, f"call {path * 4}{'G7' * 20}1234567 now"), (2, f"call {path * 4} now"), (3, f"call 12345/{path * 4} now"), (4, f"call {path * 2}98765/{path * 400} now")]
+    got = {r.row.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), network=net).collect()}
+    assert got == {1: [("model", 5, 188)], 2: [], 3: [("model", 5, 147)], 4: [("model", 5, 13679)]}
+
+
 def test_pipeline_stages(spark):
     good = lambda i, n=40: " ".join(f"w{i}x{k}" for k in range(n))
     item = " ".join(f"bench{k}" for k in range(14))

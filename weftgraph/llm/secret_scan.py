@@ -3,8 +3,10 @@
 Patterns give the base findings.  Every candidate string (a long unbroken run
 of key characters) is also scored with its surroundings by a small network:
 character-class embedding, one convolution, maximum over places, a logistic
-output.  It is trained on the driver on a bounded sample of labelled
-candidates: those that hold a base finding against all others.  A held-out
+output.  It sees ``INSIDE`` characters at a time: a longer candidate is read in
+overlapping pieces, and its score is the largest of theirs.  It is trained on
+the driver on a bounded sample of labelled pieces: those that hold (a part of)
+a base finding against those that no finding touches.  A held-out
 part calibrates the score (Platt) and sets the threshold, the highest at which
 the required share of its findings is still found.  Candidates over it that
 no base finding touches are added as findings of kind ``model``.
@@ -35,6 +37,9 @@ LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CANDIDATE)
 BEFORE, INSIDE, AFTER = 20, 64, 12
 WIDTH = BEFORE + INSIDE + AFTER
+#: Steps between pieces of a candidate over ``INSIDE``; pieces scored at once.
+STRIDE = 32
+AT_ONCE = 8_192
 
 #: Documents that the training sample is drawn from, and labelled candidates kept of each kind.
 SAMPLE_DOCS = 20_000
@@ -83,10 +88,16 @@ _CLASS = _classes()
 CLASSES = int(_CLASS.max()) + 1
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """Extents that cover a candidate, none over ``INSIDE``; neighbours overlap by half at least."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(at, at + INSIDE) for at in (*range(start, end - INSIDE, STRIDE), end - INSIDE)]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes of a candidate (its first ``INSIDE`` characters) and its surroundings."""
-    shown = min(end, start + INSIDE)
-    out = np.zeros(WIDTH, dtype=np.int64)
+    """Character classes of a piece of a candidate and its surroundings."""
+    out = np.zeros(WIDTH, dtype=np.uint8)
 
     def put(at: int, part: str) -> None:
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -94,7 +105,7 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
 
     before = text[max(0, start - BEFORE) : start]
     put(BEFORE - len(before), before)
-    put(BEFORE, text[start:shown])
+    put(BEFORE, text[start:end])
     put(BEFORE + INSIDE, text[end : end + AFTER])
     return out
 
@@ -171,20 +182,35 @@ def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps:
     return net
 
 
+def labelled_pieces(text: str | None) -> Iterator[tuple[bool, bytes]]:
+    """(label, codes) of the pieces of every candidate.
+
+    A piece that a finding only reaches into, by less than its first
+    ``LEAST_CANDIDATE`` characters, is neither.
+    """
+    spans, candidates = scan(text)
+    for start, end in candidates:
+        near = [(s, e) for s, _, e in spans if s < end and start < e]
+        for s, e in pieces(start, end):
+            shares = [(min(e, y) - max(s, x), min(y - x, min(y, end) - max(x, start), LEAST_CANDIDATE)) for x, y in near]
+            label = any(share >= least for share, least in shares)
+            if label or not any(share > 0 for share, _ in shares):
+                yield label, encode(text, s, e).tobytes()
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, code bytes) of every candidate."""
+    """(label, code bytes) of the pieces of every candidate."""
     for batch in batches:
         labels, codes = [], []
         for text in batch.column("text").to_pylist():
-            spans, candidates = scan(text)
-            for start, end in candidates:
-                labels.append(any(s < end and start < e for s, _, e in spans))
-                codes.append(encode(text, start, end).astype(np.uint8).tobytes())
+            for label, code in labelled_pieces(text):
+                labels.append(label)
+                codes.append(code)
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.bool_()), pa.array(codes, pa.binary())], names=["label", "codes"])
 
 
 def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_each: int = SAMPLE_EACH, recall: float = RECALL) -> Network | None:
-    """Train on labelled candidates of about ``sample_docs`` documents, ``sample_each`` of each label at most.
+    """Train on labelled pieces of candidates of about ``sample_docs`` documents, ``sample_each`` of each label at most.
 
     None if the sample has no finding or nothing else.
     """
@@ -204,18 +230,28 @@ def _scanned(shared):
         net: Network | None = shared.value
         for batch in batches:
             found: list[list[Span]] = []
-            asked, codes = [], []
+            asked, codes, score = [], [], {}
+
+            def flush(codes=codes, asked=asked, score=score):
+                if codes:
+                    for candidate, p in zip(asked, net.probabilities(np.stack(codes)).tolist(), strict=True):
+                        score[candidate] = max(p, score.get(candidate, 0.0))
+                codes.clear()
+                asked.clear()
+
             for row, text in enumerate(batch.column("text").to_pylist()):
                 spans, candidates = scan(text)
                 found.append(spans)
                 for start, end in candidates if net else ():
-                    asked.append((row, start, end))
-                    codes.append(encode(text, start, end).astype(np.uint8))
-            if codes:
-                score = net.probabilities(np.stack(codes).astype(np.int64))
-                for (row, start, end), p in zip(asked, score.tolist(), strict=True):
-                    if p >= net.threshold and not any(s < end and start < e for s, _, e in found[row]):
-                        found[row].append((start, 3, end))
+                    for s, e in pieces(start, end):
+                        asked.append((row, start, end))
+                        codes.append(encode(text, s, e))
+                        if len(codes) == AT_ONCE:
+                            flush()
+            flush()
+            for (row, start, end), p in score.items():
+                if p >= net.threshold and not any(s < end and start < e for s, _, e in found[row]):
+                    found[row].append((start, 3, end))
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(row)] for row in found]
             span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(spans, span)], names=[*batch.schema.names, "spans"])
