@@ -101,6 +101,22 @@ def test_upserts_and_kind_deletes(spark, base):
     assert C.delete_edges_by_kinds(edges, 2, ["R"]).count() == 1
 
 
+def test_upserts_of_repeated_keys(spark, base):
+    nodes, edges = base
+    bags = ['{"objectid":"x","a":1,"c":"first"}', '{"objectid":"x","b":{"z":[1.0,null]},"c":"second"}', '{"objectid":"x","b":{"z":[1.0,null]},"c":"second"}', '{"objectid":"z","n":null}']
+    rows = spark.createDataFrame([([f"K{i}"], b) for i, b in enumerate(bags)], "kinds array<string>, properties string")
+    live, _ = C.merged_view(nodes, edges, C.upsert_nodes(nodes, rows, 1))
+    got = {json.loads(r.properties)["objectid"]: (sorted(r.kinds), json.loads(r.properties)) for r in live.collect()}
+    # In the order of their text the bag with "a" is first.
+    assert got["x"] == (["A", "K0", "K1", "K2"], {"objectid": "x", "p": 1, "a": 1, "b": {"z": [1.0, None]}, "c": "second"})
+    assert got["z"] == (["K3"], {"objectid": "z", "n": None}) and len(got) == 3
+    new = [("x", "y", "R", '{"w":1,"v":1}'), ("x", "y", "R", '{"u":2,"w":0}'), ("x", "y", "R", None), ("y", "x", "R", None)]
+    new = spark.createDataFrame(new, "start_key string, end_key string, kind string, properties string")
+    _, walked = C.merged_view(nodes, edges, C.upsert_edges(nodes, edges, new, 1))
+    assert {(r.id, r.src, r.dst): json.loads(r.properties) for r in walked.collect() if r.id == 10} == {(10, 1, 2): {"u": 2, "v": 1, "w": 1}}
+    assert sorted((r.src, r.dst) for r in walked.collect()) == [(1, 2), (2, 1)]
+
+
 def test_follow_stream(spark, base, tmp_path):
     C.put_nodes(spark.createDataFrame([(3, ["A"], "{}")], NODES), 1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(C.CHANGE).parquet(f"{tmp_path}/in")

@@ -82,10 +82,9 @@ def upsert_nodes(nodes: DataFrame, rows: DataFrame, seq: int | Column) -> DataFr
     new nodes with an id hashed from the key.
     """
     old = nodes.select(_key("properties").alias("k"), F.col("id").alias("old_id"), F.col("kinds").alias("old_kinds"), F.col("properties").alias("old_props"))
-    # Of rows with one key the bags are merged in the order of their text, so repeats are harmless.
     new = rows.select(_key("properties").alias("k"), "kinds", "properties").where("k is not null")
-    new = new.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.max("properties").alias("properties"))
-    both = new.join(old, "k", "left")
+    united = new.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))
+    both = united.join(merged_bags(new, "k"), "k").join(old, "k", "left")
     merged = merge_objects(F.col("old_props"), F.col("properties"))
     kinds = F.array_union(F.coalesce("old_kinds", F.array().cast("array<string>")), "kinds")
     return put_nodes(both.select(F.coalesce("old_id", F.xxhash64("k")).alias("id"), kinds.alias("kinds"), merged.alias("properties")), seq)
@@ -95,7 +94,7 @@ def upsert_edges(nodes: DataFrame, edges: DataFrame, rows: DataFrame, seq: int |
     """Changes for ``rows(start_key, end_key, kind, properties)``: ends by ``objectid``, one edge for each triple."""
     keys = nodes.select(_key("properties").alias("k"), F.col("id").alias("n"))
     ready = rows.join(keys.withColumnsRenamed({"k": "start_key", "n": "src"}), "start_key").join(keys.withColumnsRenamed({"k": "end_key", "n": "dst"}), "end_key")
-    ready = ready.groupBy("src", "dst", "kind").agg(F.max("properties").alias("properties"))
+    ready = merged_bags(ready, "src", "dst", "kind")
     old = edges.select("src", "dst", "kind", F.col("id").alias("old_id"), F.col("properties").alias("old_props"))
     both = ready.join(old, ["src", "dst", "kind"], "left")
     return put_edges(
@@ -103,11 +102,27 @@ def upsert_edges(nodes: DataFrame, edges: DataFrame, rows: DataFrame, seq: int |
     )
 
 
+def _as_map(properties: Column) -> Column:
+    return F.coalesce(F.from_json(properties, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def merged_bags(rows: DataFrame, *keys: str) -> DataFrame:
+    """One bag for each key: all bags of its rows merged in the order of their text, so repeats are harmless.
+
+    Of each member the value in the last bag that has it counts; members are
+    settled one by one, so no task holds all bags of a key.
+    """
+    members = rows.select(*keys, "properties", F.explode_outer(_as_map(F.col("properties"))).alias("name", "value"))
+    members = members.groupBy(*keys, "name").agg(F.max_by("value", "properties").alias("value"))
+    named = F.filter(F.collect_list(F.struct("name", "value")), lambda m: m["name"].isNotNull())
+    ordered = F.array_sort(named, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    return members.groupBy(*keys).agg(F.to_json(F.map_from_entries(ordered)).alias("properties"))
+
+
 def merge_objects(old: Column, new: Column) -> Column:
     """One JSON object with the members of both; those of ``new`` win."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    kept = F.map_filter(as_map(old), lambda k, _: ~F.map_contains_key(as_map(new), k))
-    return F.to_json(F.map_concat(kept, as_map(new)))
+    kept = F.map_filter(_as_map(old), lambda k, _: ~F.map_contains_key(_as_map(new), k))
+    return F.to_json(F.map_concat(kept, _as_map(new)))
 
 
 def newest(log: DataFrame) -> DataFrame:
