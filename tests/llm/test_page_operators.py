@@ -181,6 +181,29 @@ def test_long_candidates_are_scored_whole(spark):
     assert got == {1: [("model", 5, 188)], 2: [], 3: [("model", 5, 147)], 4: [("model", 5, 13679)]}
 
 
+def test_threshold_keeps_the_recall():
+    rng = np.random.default_rng(1)
+    # A third of the positives look exactly like the negatives, which are many: scores under 0.5.
+    codes = rng.integers(2, 6, (1200, secret_scan.WIDTH))
+    labels = (np.arange(1200) < 300).astype(np.int64)
+    codes[:200] += 8
+    net = secret_scan.train(codes, labels, recall=0.98, steps=300)
+    order = np.random.default_rng(7)
+    order.normal(0, 0.5, (secret_scan.CLASSES, secret_scan.EMBED)), order.normal(0, 0.3, (secret_scan.SPAN * secret_scan.EMBED, secret_scan.FILTERS)), order.normal(0, 0.3, secret_scan.FILTERS)
+    order = order.permutation(1200)
+    held = order[labels[order] == 1][::4]
+    assert (net.probabilities(codes[held]) >= net.threshold).mean() >= 0.98
+
+
+def test_rare_findings_are_learnt_from(spark):
+    rng = random.Random(4)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    # 20 findings in 4,000 documents, of which about 400 are sampled, with 2 findings.
+    rows = [(i, f"some words {'key ' + hexes() if i % 200 == 0 else 'extraordinarilylongwords' + 'abcdefghij' [: i % 10]} and more {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.fit_network(docs, sample_docs=400, sample_each=50) is not None
+
+
 def test_pipeline_stages(spark):
     good = lambda i, n=40: " ".join(f"w{i}x{k}" for k in range(n))
     item = " ".join(f"bench{k}" for k in range(14))

@@ -20,10 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .storage import Scratch
+
 KINDS = ("assign", "access", "hex", "model")
 #: Fixed patterns of the base findings; positions are code points.
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -41,7 +44,7 @@ WIDTH = BEFORE + INSIDE + AFTER
 STRIDE = 32
 AT_ONCE = 8_192
 
-#: Documents that the training sample is drawn from, and labelled candidates kept of each kind.
+#: Documents that the training sample's harmless pieces are drawn from (those with findings: all), and labelled pieces kept of each kind.
 SAMPLE_DOCS = 20_000
 SAMPLE_EACH = 1_500
 RECALL = 0.98
@@ -138,8 +141,7 @@ class Network:
 def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps: int = 1_500, seed: int = 7) -> Network:
     """Fit by Adam on three quarters, calibrate and set the threshold on the rest.
 
-    The threshold is the highest that keeps the recall, and 0.5 at least: a
-    calibrated score below that calls a candidate harmless.
+    The threshold is the highest that keeps the recall, however low that is.
     """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (CLASSES, EMBED)), rng.normal(0, 0.3, (SPAN * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, FILTERS), 0.0)
@@ -178,47 +180,75 @@ def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps:
         a, b = a - 0.1 * float(((p - y) * logits).mean()), b - 0.1 * float((p - y).mean())
     net.platt = (max(a, 1e-3), b)
     found = np.sort(net.probabilities(codes[held][y == 1]))
-    net.threshold = max(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 1.0
+    net.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 1.0
     return net
 
 
-def labelled_pieces(text: str | None) -> Iterator[tuple[bool, bytes]]:
-    """(label, codes) of the pieces of every candidate.
+def labelled_pieces(text: str | None, harmless: bool = True) -> Iterator[tuple[bool, bytes]]:
+    """(label, codes) of the pieces of every candidate; without ``harmless`` of those with findings only.
 
     A piece that a finding only reaches into, by less than its first
     ``LEAST_CANDIDATE`` characters, is neither.
     """
     spans, candidates = scan(text)
+    if not spans and not harmless:
+        return
     for start, end in candidates:
         near = [(s, e) for s, _, e in spans if s < end and start < e]
         for s, e in pieces(start, end):
             shares = [(min(e, y) - max(s, x), min(y - x, min(y, end) - max(x, start), LEAST_CANDIDATE)) for x, y in near]
             label = any(share >= least for share, least in shares)
-            if label or not any(share > 0 for share, _ in shares):
+            if label or harmless and not any(share > 0 for share, _ in shares):
                 yield label, encode(text, s, e).tobytes()
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, code bytes) of the pieces of every candidate."""
-    for batch in batches:
-        labels, codes = [], []
-        for text in batch.column("text").to_pylist():
-            for label, code in labelled_pieces(text):
-                labels.append(label)
-                codes.append(code)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.bool_()), pa.array(codes, pa.binary())], names=["label", "codes"])
+def _labelled(each: int):
+    """(label, key, code bytes): of each label the ``each`` pieces of the least keys.
+
+    Pieces with findings are taken from all rows, others from the rows marked
+    as sampled.
+    """
+
+    def least(codes: dict[bytes, int]) -> dict[bytes, int]:
+        return dict(sorted(codes.items(), key=lambda x: (x[1], x[0]))[:each])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, dict[bytes, int]] = {False: {}, True: {}}
+        for batch in batches:
+            for sampled, text in zip(batch.column("sampled").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for label, code in labelled_pieces(text, sampled):
+                    kept[label][code] = xxhash.xxh64_intdigest(code) >> 1
+                    if len(kept[label]) > 4 * each:
+                        kept[label] = least(kept[label])
+        for label, codes in kept.items():
+            codes = least(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(codes), pa.bool_()), pa.array(list(codes.values()), pa.int64()), pa.array(list(codes), pa.binary())], names=["label", "key", "codes"])
+
+    return rows
 
 
 def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_each: int = SAMPLE_EACH, recall: float = RECALL) -> Network | None:
-    """Train on labelled pieces of candidates of about ``sample_docs`` documents, ``sample_each`` of each label at most.
+    """Train on labelled pieces of candidates, ``sample_each`` of each label at most.
 
-    None if the sample has no finding or nothing else.
+    Those with findings are drawn from all documents, the others from about
+    ``sample_docs`` documents.  None if the documents have no 8 different ones
+    of each label.
     """
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     share = min(1.0, sample_docs / max(1, docs.count()))
-    sampled = texts.where(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    labelled = sampled.mapInArrow(_labelled, "label boolean, codes binary").groupBy("label", "codes").agg(F.count("*").alias("n"))
-    parts = [labelled.where(F.col("label") == F.lit(k)).orderBy(F.xxhash64("codes"), "codes").limit(sample_each).collect() for k in (False, True)]
+    sampled = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < int(share * 1_000_000)
+    texts = docs.select(sampled.alias("sampled"), F.col(text_col).cast("string").alias("text"))
+    labelled = Scratch(docs.sparkSession, "secret-sample").keep(texts.mapInArrow(_labelled(sample_each), "label boolean, key long, codes binary"), "labelled").distinct()
+    # The keys up to which each label has enough pieces, to a step of the histogram.
+    step = F.shiftright("key", 50)
+    counts = labelled.groupBy("label", step.alias("step")).agg(F.count("*").alias("n")).collect()
+    parts = []
+    for k in (False, True):
+        total, last = 0, -1
+        for r in sorted((r for r in counts if r["label"] == k), key=lambda r: r["step"]):
+            if total < sample_each:
+                total, last = total + r["n"], r["step"]
+        drawn = labelled.where((F.col("label") == F.lit(k)) & (step <= last)).collect()
+        parts.append(sorted(drawn, key=lambda r: (r["key"], r["codes"]))[:sample_each])
     if not all(len(p) >= 8 for p in parts):
         return None
     rows = parts[0] + parts[1]
