@@ -31,21 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similarity 0.8 the one with the least id.
 
-    Rows without id belong to no group and stay; of rows that repeat an id
-    all stay, if the id does.
+    Rows without id belong to no group and stay.  Of rows that repeat the kept
+    id one of each text stays.
     """
     scratch = Scratch(spark, "pipeline-near")
-    classes = ngram_jaccard_join(docs, size=5, percent=80)
-    gone = scratch.keep(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    classes = ngram_jaccard_join(docs, size=5, percent=80).where("doc_id is not null")
+    marks = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    marks = scratch.keep(marks.where("gone or n > 1").select("doc_id", "gone"), "marks")
+    single = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(marks.where("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage."""
+    """Documents without any benchmark passage; a verdict belongs to a text, as ids may be null or repeated."""
     scratch = Scratch(spark, "pipeline-leaks")
-    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), window=10)
-    gone = scratch.keep(hits.where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.sha2(F.col("text").cast("string"), 256)
+    hits = benchmark_hits(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10)
+    gone = scratch.keep(hits.where("contaminated").select(F.col("doc_id").alias("_digest")).distinct(), "gone")
+    return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,3 +226,19 @@ def test_pipeline_stages(spark):
     masked = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/secret_scan").collect()}
     assert masked[23] == good(60) + f" {corpus_pipeline.MASK} end" and masked[5] == good(5)
     assert kept[4] == kept[3] == kept[2]
+
+
+def test_pipeline_verdicts_are_of_rows(spark):
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    item = " ".join(f"bench{k}" for k in range(14))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = spark.conf.get("spark.checkpoint.dir") + "/pipeline-rows"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    rows = [(None, good(1) + " " + item), (None, good(2)), (7, good(3) + " " + item), (7, good(4)), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, folder).collect()}
+    assert kept == {(None, good(2)), (7, good(4)), (8, None)}
+    rows = [(1, good(1)), (1, good(1)), (2, good(1)), (2, good(1)), (3, good(3)), (3, good(3)), (3, good(5)), (None, good(6)), (None, good(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()), key=str)
+    assert kept == sorted([(1, good(1)), (3, good(3)), (3, good(5)), (None, good(6)), (None, good(6))], key=str)
