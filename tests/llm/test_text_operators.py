@@ -241,3 +241,16 @@ def test_digest_alphabet(spark):
     rows = spark.createDataFrame([(bytearray(b""),), (bytearray(b"abc"),), (bytearray("é".encode() * 50),)], "b binary")
     for r in rows.select("b", base32_sha1(F.col("b")).alias("d")).collect():
         assert r.d == base64.b32encode(hashlib.sha1(bytes(r.b)).digest()).decode()
+
+
+def test_split_blocks_are_searched_after_the_last_turn(docs, texts, monkeypatch):
+    for name, value in {"BLOCK": 3, "SELDOM": 3, "ROUNDS": 0}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()} == components(texts)
+
+
+def test_every_set_size_of_a_member_counts(spark):
+    members = spark.createDataFrame([(1, 7, 2), (1, 5, 2), (2, 7, 2), (2, 6, 2)], "block long, member long, size long")
+    folded = spark.createDataFrame([(7, 100), (7, 10), (5, 10), (6, 30)], "least long, n long")
+    got = sorted((r.block, r.member, r.size) for r in ngram_join._fit(members, folded, 80).collect())
+    assert got == [(1, 5, 2), (1, 7, 2)]

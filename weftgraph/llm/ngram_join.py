@@ -327,15 +327,16 @@ def _fit(members: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
     """(block, member, size): only members that have another of a fitting set size in their block.
 
     Sizes are put in bands as wide as the similarity lets two sizes differ, so
-    a fitting one lies in the same or a neighbouring band.
+    a fitting one lies in the same or a neighbouring band.  A member whose id
+    is repeated is in the band of every set it has.
     """
     width = math.log(max(1.01, 100 / percent)) * 1.0001
-    banded = members.join(folded.groupBy(F.col("least").alias("member")).agg(F.max("n").alias("n")), "member")
-    banded = banded.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    bands = folded.select(F.col("least").alias("member"), F.floor(F.log("n") / width).cast("int").alias("band")).distinct()
+    banded = members.join(bands, "member")
     near = banded.groupBy("block", "band").agg(F.count("*").alias("size"))
     near = near.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "size")
     near = near.groupBy("block", "band").agg(F.sum("size").alias("near")).where("near > 1")
-    kept = banded.join(near, ["block", "band"]).select("block", "member")
+    kept = banded.join(near, ["block", "band"]).select("block", "member").distinct()
     return kept.join(kept.groupBy("block").agg(F.count("*").alias("size")), "block")
 
 
@@ -407,7 +408,7 @@ def ngram_jaccard_join(
     )
     roots = connected_components(links, scratch, "roots")
     split = members.where(F.col("size") > BLOCK)
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         # Blocks that were split: what is not yet in one component.
         labelled = split.join(roots.withColumnRenamed("vertex", "member"), "member", "left").select("block", "member", F.coalesce("root", "member").alias("label"), part.alias("part"))
         open_blocks = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
@@ -418,7 +419,7 @@ def ngram_jaccard_join(
         largest = by_label.groupBy("block").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
         largest = largest.select("block", F.col("top.label").alias("largest"), F.col("top.n").alias("n"), "size")
         sent, held = largest.agg(F.sum((F.col("size") - F.col("n")) * F.ceil(F.col("size") / BLOCK)), F.sum("size")).first()
-        if sent > REPEAT * held:
+        if turn < ROUNDS and sent > REPEAT * held:
             # Too many rows to ask of all parts: let the parts' leaders join components first.
             leaders = labelled.groupBy("block", "part", "label").agg(F.min("member").alias("member"))
             sizes = leaders.groupBy("block").agg(F.count("*").alias("size"))
