@@ -249,8 +249,45 @@ def test_split_blocks_are_searched_after_the_last_turn(docs, texts, monkeypatch)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()} == components(texts)
 
 
-def test_every_set_size_of_a_member_counts(spark):
-    members = spark.createDataFrame([(1, 7, 2), (1, 5, 2), (2, 7, 2), (2, 6, 2)], "block long, member long, size long")
-    folded = spark.createDataFrame([(7, 100), (7, 10), (5, 10), (6, 30)], "least long, n long")
-    got = sorted((r.block, r.member, r.size) for r in ngram_join._fit(members, folded, 80).collect())
-    assert got == [(1, 5, 2), (1, 7, 2)]
+def test_texts_that_repeat_an_id_are_linked_each(spark):
+    """A short and a long text under one id: near copies of both are linked with it."""
+    short, long = [f"s{i}" for i in range(60)], [f"t{i}" for i in range(900)]
+    rows = [(7, " ".join(short)), (7, " ".join(long)), (3, " ".join([*short[:-1], "x"])), (9, " ".join([*long[:-2], "y", "z"])), (11, "else " * 30)]
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 3), (3, 3), (9, 3), (11, 11)}
+
+
+def test_near_duplicates_of_named_ids(spark):
+    rows = [("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "else")]
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefix_bounds_keep_every_similar_pair(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    base = [set(rng.sample(range(1, 400), rng.randint(2, 60))) for _ in range(20)]
+    sets = [sorted(s ^ set(rng.sample(range(1, 400), rng.randint(0, 8)))) for s in base for _ in range(3)]
+    sets = [np.array(s, dtype=np.uint64) for s in sets if s]
+    prefixes = [s[: len(s) + 1 + (-80 * len(s)) // 100] for s in sets]
+    counts = ngram_join._shared_counts(prefixes)
+    assert all(counts[i, j] == len(set(prefixes[i].tolist()) & set(prefixes[j].tolist())) for i in range(len(sets)) for j in range(i))
+    group = {}
+    for k, members in enumerate(ngram_join.possible_groups(np.array([len(s) for s in sets]), prefixes, 80)):
+        group |= dict.fromkeys(members, k)
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(frozenset(sets[i].tolist()), frozenset(sets[j].tolist())):
+                assert group[i] == group[j]
+
+
+def test_word_hashes_follow_words_alone():
+    from weftgraph.llm import textkeys
+
+    rows = [None, b"", b" \n", b"a", b"A b\x0bc  d", b"a" * 300 + b" " + b"b" * 9, b"q" * 8 + b"\t" + b"q" * 16, "é ü".encode()]
+    for own, text in zip(textkeys.hashed_texts(rows), rows, strict=True):
+        words = textkeys.blank_words(text)
+        assert own.tolist() == [int(textkeys.word_hashes([w])[0]) for w in words]
+    assert len({int(textkeys.word_hashes([b"x" * n])[0]) for n in range(1, 400)}) == 399

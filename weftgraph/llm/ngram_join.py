@@ -1,18 +1,25 @@
 """Operator 1: exact n-gram Jaccard self-join by T-occurrence search.
 
-A document is the set of its distinct word shingles.  Equal sets are folded
-to one representative first.  Under any order of shingles that all documents
-share, two sets of similarity p % have a shingle in common among the first
-n - ceil(p n / 100) + 1 of each, the prefix.  The order here is by hash, with
-the most frequent shingles (counted over all documents) moved to the end.
-
-All documents whose prefixes hold a shingle belong to the block named by the
-least document of that shingle's list, so every similar pair meets in a block.
-A block is searched by DivideSkip (``tsearch``).  Blocks larger than
-``BLOCK`` are split by hash; what the parts find is contracted, the parts'
-leaders are searched again, and only if a block still has several components
-are the members outside its largest one searched against all parts.  So a
-group of near copies of any size costs one look per copy, and no pair is lost.
+A document is the set of its distinct word shingles; equal sets are folded
+into one first, so what is joined are sets, each with a number of its own.
+Under any order of shingles that all sets share, two sets of similarity p %
+have a shingle in common among the first n - ceil(p n / 100) + 1 of each, the
+prefix.  The order here is by hash, with the shingles that batches of
+documents hold most often moved to the end.
+
+All sets whose prefixes hold a shingle belong to the block named by the least
+set of that shingle's list, so every similar pair meets in a block.  Prefixes
+alone then tell most strangers apart: up to the end of the shorter prefix it
+is known how many shingles a pair shares and how many each has left, which
+bounds the overlap.  Blocks fall into the groups that this bound leaves
+connected; sets that are left alone go, and only the others' texts are read
+again and searched by DivideSkip (``tsearch``).
+
+Blocks larger than ``BLOCK`` are cut by set size, and if still too large split
+by hash; what the parts find is contracted, the parts' leaders are searched
+again, and only if a block still has several components are the members
+outside its largest one searched against all parts.  So a group of near copies
+of any size costs one look per copy, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -28,44 +35,48 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import Scratch, shuffle_partitions
-from .textkeys import EMPTY, shingle_set
+from .textkeys import EMPTY, least_overlap, shingle_set, shingle_sets
 from .tsearch import block_links
 
 #: Members of a block, or of a part of it, that one search holds in memory.
 BLOCK = 512
-#: Entries at most of the broadcast table of frequent shingles (under 2 MB).
+#: Entries at most of the broadcast table of frequent shingles (under 1 MB).
 FREQUENT = 1 << 16
-#: A shingle in fewer prefixes is never called frequent.
+#: A shingle met fewer times by batches that hold it twice is never called frequent.
 SELDOM = 32
-#: Bits of the broadcast filter of block members (2 MB, whatever the input).
+#: Bits of the broadcast filter of documents whose texts are needed (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Shingle postings that one bucket is meant to hold.
 BUCKET = 1_500_000
 ROUNDS = 40
 #: Copies of the members that the exhaustive step may send without a round of leaders before it.
 REPEAT = 8
+#: Set keys that a task remembers to leave out prefixes of copies.
+KEYS = 200_000
+#: Postings longer than this are counted by a matrix product, others pair by pair.
+DENSE = 16
 
+_OFTEN = np.uint64(1 << 63)
 
-def _prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    n = len(tokens)
-    if not n:
-        return EMPTY
-    size = n + 1 + (-percent * n) // 100
+
+def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places of tokens in the order of all shingles: by hash, the frequent ones last."""
+    places = tokens >> np.uint64(1)
     if len(frequent):
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
-        often = frequent[at] == tokens
-        if often.any():
-            tokens = np.concatenate([tokens[~often], tokens[often]])
-    return tokens[:size]
+        places[frequent[at] == tokens] |= _OFTEN
+        places.sort()
+    return places
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
+def _prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    n = len(tokens)
+    return _ordered(tokens, frequent)[: n + 1 + (-percent * n) // 100] if n else EMPTY
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("vertex"), F.col(text_col).cast("string").cast("binary").alias("text"))
+def _signed(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
 def _set_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -73,102 +84,102 @@ def _set_key(tokens: np.ndarray) -> tuple[int, int]:
     return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
 
 
-def _token_counts(size: int, percent: int):
-    """(token, count, least vertex) of the prefixes in hash order, summed by batch."""
+def _often_met(size: int, percent: int):
+    """(token, count) of prefix tokens, in hash order, that stand in two texts of a batch or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vertices = batch.column("vertex").to_pylist()
-            parts = [_prefix(shingle_set(text, size), percent, EMPTY) for text in batch.column("text").to_pylist()]
+            parts = [tokens[: len(tokens) + 1 + (-percent * len(tokens)) // 100] for tokens in shingle_sets(batch.column("text").to_pylist(), size) if len(tokens)]
             if not parts:
                 continue
-            tokens = np.concatenate(parts)
-            owners = np.repeat(np.array(vertices, dtype=np.int64), [len(p) for p in parts])
-            order = np.lexsort((owners, tokens))
-            tokens, owners = tokens[order], owners[order]
-            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+            tokens = np.sort(np.concatenate(parts))
+            del parts
+            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             counts = np.diff(np.r_[starts, len(tokens)])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[starts])), pa.array(counts.astype(np.int64)), pa.array(owners[starts])], names=["token", "count", "least"])
+            again = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[starts[again]])), pa.array(counts[again].astype(np.int64))], names=["token", "count"])
 
     return rows
 
 
 def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
-    """(vertex, n, h1, h2, prefix) of each document: its set's size, key and prefix."""
+    """(id, n, h1, h2, prefix): size and key of each text's set; the prefix only where the task meets the set first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             n, h1, h2, prefix = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, size)
-                high, low = _set_key(tokens)
+            for named, tokens in zip(batch.column("id").is_valid().to_pylist(), shingle_sets(batch.column("text").to_pylist(), size), strict=True):
+                key = _set_key(tokens)
                 n.append(len(tokens))
-                h1.append(high)
-                h2.append(low)
-                prefix.append(_prefix(tokens, percent, frequent).tobytes())
+                h1.append(key[0])
+                h2.append(key[1])
+                fresh = named and len(tokens) > 0 and key not in met
+                prefix.append(_prefix(tokens, percent, frequent).tobytes() if fresh else None)
+                if fresh:
+                    if len(met) >= KEYS:
+                        met.clear()
+                    met.add(key)
             columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], names=["vertex", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n", "h1", "h2", "prefix"])
 
     return rows
 
 
-def _dealt(buckets: int, frequent: np.ndarray):
-    """Prefixes to one blob of (token, vertex) postings for each batch and bucket; bucket -1: (block, vertex) of frequent tokens."""
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All prefix tokens of a batch and the set of each."""
+    parts = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
+    owners = np.repeat(np.asarray(batch.column("vertex").to_pylist(), dtype=np.int64), [len(p) for p in parts])
+    return (np.concatenate(parts) if parts else EMPTY), owners
+
+
+def _dealt(buckets: int):
+    """Prefixes to one blob of (token, set) postings for each batch and bucket, without frequent tokens.
+
+    A bucket's tokens are told apart by 32 bits more; a rare mistake only puts
+    strangers into one block.  Sets are given as distances from the batch's
+    least one where they are near.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
-            if not prefixes:
+            tokens, owners = _prefixes(batch)
+            rare = tokens < _OFTEN
+            tokens, owners = tokens[rare], owners[rare]
+            if not len(tokens):
                 continue
-            owners = np.repeat(np.asarray(batch.column("vertex").to_pylist(), dtype=np.int64), [len(p) for p in prefixes])
-            tokens = np.concatenate(prefixes)
-            often = np.zeros(len(tokens), dtype=bool)
-            if len(frequent):
-                at = np.searchsorted(frequent["token"], tokens)
-                at[at == len(frequent)] = 0
-                often = frequent["token"][at] == tokens
-            ids, keys, members = [], [], []
-            if often.any():
-                pairs = np.unique(np.stack([frequent["least"][at[often]], owners[often]]), axis=1)
-                ids.append(-1 - int(owners[0]) % buckets)
-                keys.append(np.ascontiguousarray(pairs[0]).tobytes())
-                members.append(np.ascontiguousarray(pairs[1]).tobytes())
-                tokens, owners = tokens[~often], owners[~often]
+            base = int(owners.min())
+            near = int(owners.max()) - base < 1 << 32
             bucket = ((tokens >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            tokens, owners, bucket = tokens[order], owners[order], bucket[order]
+            owners, bucket = owners[order], bucket[order]
+            fragments = (tokens[order] >> np.uint64(31)).astype(np.uint32)
+            if near:
+                owners = (owners - base).astype(np.uint32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                ids.append(int(b))
-                keys.append(tokens[cuts[b] : cuts[b + 1]].tobytes())
-                members.append(owners[cuts[b] : cuts[b + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["bucket", "tokens", "vertices"])
+            ids = np.flatnonzero(np.diff(cuts)).tolist()
+            keys = [fragments[cuts[b] : cuts[b + 1]].tobytes() for b in ids]
+            members = [owners[cuts[b] : cuts[b + 1]].tobytes() for b in ids]
+            columns = [pa.array(ids, pa.int64()), pa.array([base if near else None] * len(ids), pa.int64()), pa.array(keys, pa.binary()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "base", "tokens", "vertices"])
 
     return rows
 
 
-def _pairs(block: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(member)], names=["block", "member"])
-
-
-def _runs(keys: list, key_of) -> Iterator[tuple]:
-    """Consecutive equal keys of a sorted column as (key, first, end)."""
-    start = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or key_of(i) != key_of(start):
-            yield start, i
-            start = i
+def _often_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, member) of the frequent tokens in prefixes."""
+    for batch in batches:
+        tokens, owners = _prefixes(batch)
+        often = tokens >= _OFTEN
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[often])), pa.array(owners[often])], names=["token", "member"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs sorted by bucket to distinct (block, member); lists of one are dropped."""
 
-    def found(bucket: int, tokens: list[bytes], vertices: list[bytes]) -> pa.RecordBatch | None:
-        members = np.concatenate([np.frombuffer(v, dtype=np.int64) for v in vertices])
-        if bucket < 0:
-            pairs = np.unique(np.stack([np.concatenate([np.frombuffer(t, dtype=np.int64) for t in tokens]), members]), axis=1)
-            return _pairs(pairs[0], pairs[1])
-        keys = np.concatenate([np.frombuffer(t, dtype=np.uint64) for t in tokens])
+    def found(tokens: list[bytes], vertices: list[np.ndarray]) -> pa.RecordBatch | None:
+        members = np.concatenate(vertices)
+        keys = np.concatenate([np.frombuffer(t, dtype=np.uint32) for t in tokens])
         order = np.lexsort((members, keys))
         keys, members = keys[order], members[order]
         again = keys[1:] == keys[:-1]
@@ -178,46 +189,143 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, members = keys[shared], members[shared]
         head = np.r_[True, keys[1:] != keys[:-1]]
         block = members[head][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([block, members]), axis=1)
-        return _pairs(pairs[0], pairs[1])
+        order = np.lexsort((members, block))
+        block, members = block[order], members[order]
+        new = np.r_[True, (block[1:] != block[:-1]) | (members[1:] != members[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(members[new])], names=["block", "member"])
 
     now, tokens, vertices = None, [], []
     for batch in batches:
-        for bucket, t, v in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "vertices")), strict=True):
+        for bucket, base, t, v in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "tokens", "vertices")), strict=True):
             if bucket != now:
-                if now is not None and (out := found(now, tokens, vertices)) is not None:
+                if now is not None and (out := found(tokens, vertices)) is not None:
                     yield out
                 now, tokens, vertices = bucket, [], []
             tokens.append(t)
-            vertices.append(v)
-    if now is not None and (out := found(now, tokens, vertices)) is not None:
+            vertices.append(np.frombuffer(v, dtype=np.int64) if base is None else np.frombuffer(v, dtype=np.uint32).astype(np.int64) + base)
+    if now is not None and (out := found(tokens, vertices)) is not None:
         yield out
 
 
+def _shared_counts(prefixes: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two prefixes share."""
+    m = len(prefixes)
+    owners = np.repeat(np.arange(m), [len(p) for p in prefixes])
+    tokens = np.concatenate(prefixes)
+    order = np.argsort(tokens, kind="stable")
+    owners, tokens = owners[order], tokens[order]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    lengths = np.diff(np.r_[starts, len(tokens)])
+    counts = np.zeros(m * m, dtype=np.int64)
+    for n in np.unique(lengths[(lengths > 1) & (lengths <= DENSE)]).tolist():
+        lists = owners[starts[lengths == n][:, None] + np.arange(n)]
+        for x in range(n):
+            for y in range(x + 1, n):
+                counts += np.bincount(lists[:, x] * m + lists[:, y], minlength=m * m)
+    counts = counts.reshape(m, m)
+    counts += counts.T
+    long = np.flatnonzero(lengths > DENSE)
+    for at in range(0, len(long), 1024):
+        part = long[at : at + 1024]
+        held = np.zeros((m, len(part)), dtype=np.float32)
+        for column, k in enumerate(part.tolist()):
+            held[owners[starts[k] : starts[k] + lengths[k]], column] = 1
+        counts += (held @ held.T).astype(np.int64)
+    return counts
+
+
+def possible_groups(sizes: np.ndarray, prefixes: list[np.ndarray], percent: int) -> list[list[int]]:
+    """Groups of two sets or more that hold together by pairs whose prefixes leave them a chance.
+
+    Of a pair it is known up to the end of the prefix that ends first how many
+    tokens each has and how many are shared; beyond it they share at most what
+    the one that has less left has.
+    """
+    m = len(sizes)
+    shared = _shared_counts(prefixes)
+    last = np.array([p[-1] for p in prefixes], dtype=np.uint64)
+    # up_to[i, j]: tokens of i's prefix up to the end of j's.
+    up_to = np.stack([np.searchsorted(p, last, side="right") for p in prefixes])
+    left = sizes[:, None] - up_to
+    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
+    able = (shared > 0) & (shared + np.minimum(left, left.T) >= need)
+    np.fill_diagonal(able, False)
+    group = np.full(m, -1)
+    out = []
+    for start in np.flatnonzero(able.any(axis=1)).tolist():
+        if group[start] >= 0:
+            continue
+        inside, fresh = np.zeros(m, dtype=bool), np.array([start])
+        while len(fresh):
+            inside[fresh] = True
+            fresh = np.flatnonzero(able[fresh].any(axis=0) & ~inside)
+        group[inside] = len(out)
+        out.append(np.flatnonzero(inside).tolist())
+    return out
+
+
+def _possible(percent: int):
+    """Rows sorted by block to (block, member, size) of its groups; equal groups of different blocks get one name."""
+
+    def groups(held: list[tuple]) -> Iterator[tuple[int, list[int]]]:
+        vertices, n, blobs = zip(*held, strict=True)
+        prefixes = [np.frombuffer(b, dtype=np.uint64) for b in blobs]
+        for group in possible_groups(np.array(n, dtype=np.int64), prefixes, percent):
+            members = sorted(vertices[i] for i in group)
+            yield xxhash.xxh3_64_intdigest(np.array(members, dtype=np.int64).tobytes()) - (1 << 63), members
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        out: list[list[int]] = [[], [], []]
+
+        def close() -> None:
+            if len(held) > 1:
+                for name, members in groups(held):
+                    for column, values in zip(out, ([name] * len(members), members, [len(members)] * len(members)), strict=True):
+                        column += values
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["block", "member", "size"])
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                for block, vertex, n, prefix in zip(*(part.column(c).to_pylist() for c in ("block", "vertex", "n", "prefix")), strict=True):
+                    if block != now:
+                        close()
+                        now, held = block, []
+                    held.append((vertex, n, prefix))
+            yield made()
+        close()
+        yield made()
+
+    return rows
+
+
 def _in_filter(bits: np.ndarray):
-    """Only documents that may be a member of a block."""
+    """Only rows whose key's bit is set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _filter_place(np.asarray(batch.column("vertex").to_pylist(), dtype=np.int64))
+            at = batch.column("key").to_numpy(zero_copy_only=False) % FILTER_BITS
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
     return rows
 
 
-def _filter_place(vertices: np.ndarray) -> np.ndarray:
-    from .textkeys import mixed
-
-    return (mixed(vertices.view(np.uint64) + np.uint64(1)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _of_set(size: int):
+    """Rows whose text has the set that the row names: an id may be repeated with other texts."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)
+            same = [_set_key(tokens) == key for tokens, key in zip(shingle_sets(batch.column("text").to_pylist(), size), keys, strict=True)]
+            yield batch.filter(pa.array(same, pa.bool_())).select(["vertex", "text"])
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct bytes of the filter that members set, as (place, byte)."""
-    for batch in batches:
-        at = np.unique(_filter_place(np.asarray(batch.column("member").to_pylist(), dtype=np.int64)))
-        byte, first = np.unique(at >> 3, return_index=True)
-        values = np.bitwise_or.reduceat(np.left_shift(1, at & 7), first) if len(at) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(values.astype(np.int64))], names=["place", "byte"])
+    return rows
 
 
 def _able(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[np.ndarray]]:
@@ -244,7 +352,7 @@ def _block_search(size: int, percent: int):
     """Rows sorted by (block, part) to links (a, b); label: the component so far, asked: null, or whether to search for the row."""
 
     def links(vertices: list[int], texts: list[bytes], labels: list[int], asked: list) -> list[tuple[int, int]]:
-        sets = [shingle_set(text, size) for text in texts]
+        sets = list(shingle_sets(texts, size))
         sizes = [len(s) for s in sets]
         able, sets = _able(sets, percent)
         # Short sets first: a leader is then no longer than its followers.
@@ -323,27 +431,57 @@ def _thinned(members: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return small.unionByName(kept.join(sizes, "block").select(*members.columns))
 
 
-def _fit(members: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
-    """(block, member, size): only members that have another of a fitting set size in their block.
+def _banded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(block, member, size) of the members that have another of a fitting set size in their block.
 
     Sizes are put in bands as wide as the similarity lets two sizes differ, so
-    a fitting one lies in the same or a neighbouring band.  A member whose id
-    is repeated is in the band of every set it has.
+    a fitting one lies in the same or the next band.  Blocks over ``BLOCK`` are
+    cut into blocks of two neighbouring bands each.
     """
     width = math.log(max(1.01, 100 / percent)) * 1.0001
-    bands = folded.select(F.col("least").alias("member"), F.floor(F.log("n") / width).cast("int").alias("band")).distinct()
-    banded = members.join(bands, "member")
+    banded = members.join(sets.select(F.col("vertex").alias("member"), F.floor(F.log("n") / width).cast("int").alias("band")), "member")
     near = banded.groupBy("block", "band").agg(F.count("*").alias("size"))
     near = near.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "size")
-    near = near.groupBy("block", "band").agg(F.sum("size").alias("near")).where("near > 1")
-    kept = banded.join(near, ["block", "band"]).select("block", "member").distinct()
-    return kept.join(kept.groupBy("block").agg(F.count("*").alias("size")), "block")
+    near = near.groupBy("block", "band").agg(F.sum("size").alias("near")).where("near > 1").select("block", "band")
+    kept = banded.join(near, ["block", "band"]).select("block", "member", "band")
+    sized = kept.join(kept.groupBy("block").agg(F.count("*").alias("size")), "block")
+    small = sized.where(F.col("size") <= BLOCK).select("block", "member", "size")
+    cut = sized.where(F.col("size") > BLOCK).select(F.explode(F.array(F.col("band") - 1, "band")).alias("band"), "block", "member")
+    cut = cut.select(F.xxhash64("block", "band").alias("block"), "member").distinct()
+    again = cut.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    return small.unionByName(cut.join(again, "block").select("block", "member", "size"))
 
 
 def _sorted_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """Sorted tokens of the largest counts, ``FREQUENT`` at most."""
+    total, bound = 0, SELDOM
+    steps = counts.groupBy(F.floor(F.log2("count") * 2).alias("step")).agg(F.count("*").alias("tokens")).collect()
+    for step in sorted(steps, key=lambda r: -r["step"]):
+        total += step["tokens"]
+        if total > FREQUENT:
+            bound = 2 ** ((step["step"] + 1) / 2)
+            break
+    rows = counts.where(F.col("count") >= bound).limit(FREQUENT).select("token").collect()
+    return np.array(sorted(r["token"] % (1 << 64) for r in rows), dtype=np.uint64)
+
+
+def _needed_texts(texts: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(vertex, text) of the wanted (id, vertex, h1, h2)."""
+    key = F.xxhash64("id").alias("key")
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    places = wanted.select(F.shiftright(place, 3).alias("place"), F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int")).alias("byte"))
+    for row in places.groupBy("place").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
+        bits[row["place"]] = row["byte"]
+    keyed = texts.where("id is not null").select("id", key, "text")
+    held = keyed.mapInArrow(_in_filter(bits), keyed.schema).drop("key")
+    return scratch.keep(held.join(wanted, "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary").dropDuplicates(["vertex"]), "texts")
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -354,48 +492,49 @@ def ngram_jaccard_join(
 
     Null or word-less texts have size 0 and are linked with nothing.  Rows with
     a null id keep their size and get a null component.  Rows that repeat an id
-    are one vertex: they share its component.  Other columns are ignored; an
-    empty table gives an empty result.
+    are one document with all their texts: they share its component.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     parts = shuffle_partitions(spark)
-    texts = _texts(docs, id_col, text_col)
-    named = texts.where("vertex is not null")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
-    counts = named.mapInArrow(_token_counts(size, percent), "token long, count long, least long").groupBy("token")
-    counts = counts.agg(F.sum("count").alias("count"), F.min("least").alias("least")).where(F.col("count") >= SELDOM)
-    counts = scratch.keep(counts, "counts")
-    total, bound = 0, SELDOM
-    steps = counts.groupBy(F.floor(F.log2("count") * 2).alias("step")).agg(F.count("*").alias("tokens")).collect()
-    for step in sorted(steps, key=lambda r: -r["step"]):
-        total += step["tokens"]
-        if total > FREQUENT:
-            bound = 2 ** ((step["step"] + 1) / 2)
-            break
-    rows = counts.where(F.col("count") >= bound).limit(FREQUENT).collect()
-    frequent = np.array(sorted((r["token"] % (1 << 64), r["least"]) for r in rows), dtype=[("token", np.uint64), ("least", np.int64)])
-
-    sets = texts.mapInArrow(_prefix_rows(size, percent, frequent["token"].copy()), "vertex long, n long, h1 long, h2 long, prefix binary")
-    sets = scratch.keep(sets, "sets")
-    folded = sets.where("vertex is not null and n > 0").groupBy("h1", "h2").agg(F.min("vertex").alias("least"), F.max("n").alias("n"))
-    folded = scratch.keep(folded, "folded")
-    prefixes = sets.where("n > 0").select("vertex", "h1", "h2", "prefix").join(folded.select("h1", "h2", F.col("least").alias("vertex")), ["vertex", "h1", "h2"], "left_semi")
-    postings = sets.where("vertex is not null").agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    buckets = max(parts, int(postings // BUCKET))
-    dealt = prefixes.select("vertex", "prefix").mapInArrow(_dealt(buckets, frequent), "bucket long, tokens binary, vertices binary")
-    members = _sorted_by(dealt, buckets, "bucket").mapInArrow(_members, "block long, member long").distinct()
-    members = scratch.keep(members, "members")
+    counts = texts.where("id is not null").select("text").mapInArrow(_often_met(size, percent), "token long, count long")
+    counts = scratch.keep(counts.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= SELDOM), "counts")
+    frequent = _frequent(counts)
 
-    members = scratch.keep(_fit(_merged_blocks(members), folded, percent), "blocks")
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    places = members.select("member").mapInArrow(_places, "place long, byte long").groupBy("place").agg(F.bit_or("byte").alias("byte"))
-    for row in places.toLocalIterator():
-        bits[row["place"]] = row["byte"]
-    texts_of = named.mapInArrow(_in_filter(bits), named.schema)
+    rows = scratch.keep(texts.mapInArrow(_prefix_rows(size, percent, frequent), f"id {id_type}, n long, h1 long, h2 long, prefix binary"), "rows")
+    sets = rows.where("prefix is not null").select("h1", "h2", "n", "prefix").dropDuplicates(["h1", "h2"])
+    sets = scratch.keep(sets.withColumn("vertex", F.monotonically_increasing_id()), "sets")
+    documents = rows.select("id", "n", "h1", "h2").join(sets.select("h1", "h2", "vertex"), ["h1", "h2"], "left").withColumn("vertex", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("vertex")))
+    documents = scratch.keep(documents, "documents")
+    scratch.drop("counts", "rows")
+
+    postings = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(parts, int(postings // BUCKET))
+    dealt = sets.select("vertex", "prefix").mapInArrow(_dealt(buckets), "bucket long, base long, tokens binary, vertices binary")
+    members = _sorted_by(dealt, buckets, "bucket").mapInArrow(_members, "block long, member long")
+    if len(frequent):
+        often = scratch.keep(sets.select("vertex", "prefix").mapInArrow(_often_held, "token long, member long"), "often")
+        named = often.groupBy("token").agg(F.min("member").alias("block"), F.count("*").alias("n")).where("n > 1")
+        # At most FREQUENT rows.
+        members = members.union(often.join(F.broadcast(named), "token").select("block", "member"))
+    members = scratch.keep(members.distinct(), "members")
+    members = scratch.keep(_banded(_merged_blocks(members), sets, percent), "blocks")
+    scratch.drop("often", "members")
+
+    small = members.where(F.col("size") <= BLOCK).select("block", F.col("member").alias("vertex")).join(sets.select("vertex", "n", "prefix"), "vertex")
+    possible = _sorted_by(small.select("block", "vertex", "n", "prefix"), max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
+    members = scratch.keep(possible.unionByName(members.where(F.col("size") > BLOCK)), "possible")
+    scratch.drop("blocks")
+
+    wanted = documents.join(members.select(F.col("member").alias("vertex")).distinct(), "vertex").groupBy("vertex", "h1", "h2").agg(F.min("id").alias("id"))
+    texts_of = _needed_texts(texts, scratch.keep(wanted, "wanted"), size, scratch)
+    scratch.drop("sets", "wanted")
     if not members.where(F.col("size") > BLOCK).isEmpty():
         members = scratch.keep(_thinned(members, texts_of, size, percent), "thinned")
-    # A vertex whose id is repeated stands for all its texts.
     searched = _block_search(size, percent)
 
     def search(rows: DataFrame, name: str) -> DataFrame:
@@ -439,14 +578,13 @@ def ngram_jaccard_join(
         roots = connected_components(scratch.keep(links.union(found), f"all-links-{turn}"), scratch, f"all-roots-{turn}")
         break
 
-    place = sets.where("vertex is not null and n > 0").join(folded, ["h1", "h2"]).select("vertex", "h1", "h2", "least")
     # An id whose rows have different sets ties those sets together.
-    ties = place.groupBy("vertex").agg(F.min("least").alias("low"), F.max("least").alias("high"))
-    tied = ties.where("vertex <> low or low <> high")
-    every = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
-    every = every.union(tied.select(F.col("vertex").alias("a"), F.col("low").alias("b"))).union(tied.select(F.col("vertex").alias("a"), F.col("high").alias("b")))
+    held = documents.where("vertex is not null").select("id", "vertex").distinct()
+    ties = held.groupBy("id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high")
+    tied = held.join(ties, "id").select(F.col("vertex").alias("a"), F.col("low").alias("b"))
+    every = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(tied)
     final = connected_components(every, scratch, "final")
-    return (
-        sets.join(final, "vertex", "left")
-        .select(F.col("vertex").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("vertex").isNotNull(), F.coalesce("root", "vertex")).alias("component_id"))
-    )
+    rooted = documents.join(final, "vertex", "left").select("id", "n", F.coalesce("root", "vertex").alias("root"))
+    rooted = scratch.keep(rooted, "rooted")
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
