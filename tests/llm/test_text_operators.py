@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, ngram_join, packing, quality_rules, sharding, tokens, tsearch
+from weftgraph.llm import decontaminate, ngram_join, packing, phrase_dedup, quality_rules, sharding, textkeys, tokens, tsearch
 from weftgraph.llm.decontaminate import benchmark_hits
 from weftgraph.llm.language_id import identify_language
 from weftgraph.llm.ngram_join import ngram_jaccard_join
@@ -284,10 +284,30 @@ def test_prefix_bounds_keep_every_similar_pair(seed):
 
 
 def test_word_hashes_follow_words_alone():
-    from weftgraph.llm import textkeys
-
     rows = [None, b"", b" \n", b"a", b"A b\x0bc  d", b"a" * 300 + b" " + b"b" * 9, b"q" * 8 + b"\t" + b"q" * 16, "é ü".encode()]
     for own, text in zip(textkeys.hashed_texts(rows), rows, strict=True):
         words = textkeys.blank_words(text)
         assert own.tolist() == [int(textkeys.word_hashes([w])[0]) for w in words]
     assert len({int(textkeys.word_hashes([b"x" * n])[0]) for n in range(1, 400)}) == 399
+
+
+def test_automata_find_what_hashes_do_not_mark(spark):
+    """Passages of one document that recur apart, in parts and overlapping, by many automata of a task."""
+    rng = random.Random(11)
+    word = [f"w{i}" for i in range(3000)]
+    long = [rng.choice(word) for _ in range(400)]
+    rows = [" ".join(long), " ".join(long[10:60] + ["x"] + long[200:240]), " ".join(["y"] + long[40:90]), "\t".join(long[215:300]), " ".join(["z"] * 120)]
+    split = [t.split() for t in rows]
+    often = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for shard in (1, 20_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(phrase_dedup, "SHARD", shard)
+            got = {r.doc_id: r for r in remove_repeated_passages(table).collect()}
+        for i, w in enumerate(split):
+            gone = {k + j for k in range(len(w) - 34) if often[tuple(w[k : k + 35])] > 1 for j in range(35)}
+            assert got[i].kept_text == " ".join(x for k, x in enumerate(w) if k not in gone)
+    # Witnesses alone are compiled: the same window in a second stretch is left to the automaton.
+    hashes = list(textkeys.hashed_texts([rows[0].encode(), rows[1].encode()]))
+    runs = phrase_dedup._witnesses([textkeys.long_windows(h, 35) for h in hashes], [1, 1], 35)
+    assert runs == [[(10, 60), (200, 240)], []]

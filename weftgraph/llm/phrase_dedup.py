@@ -7,10 +7,12 @@ an anchor's group.  Three steps, each over all documents:
 
 1. Anchors that stand in two places or more.  A task that has seen an anchor
    twice knows; it sends one witness per anchor and batch for the others.
-2. The stretch of words around each recurring anchor, dealt out by anchor.
-   There windows met twice are confirmed, their runs (the passages) are
-   compiled into automata of at most ``SHARD`` stretches, and all stretches
-   are streamed through them to locate every occurrence.
+2. The stretch of text around each recurring anchor, dealt out by anchor.
+   There one witness of each window met twice confirms it.  Runs of witnessed
+   windows that always occur together are the passages; they are compiled into
+   automata, a shard of anchors each, over the shard's own word numbers, and
+   every stretch of every document is streamed through its shard's automaton,
+   which locates the occurrences.
 3. The occurrences go back to their documents, whose covered words go.
 """
 
@@ -27,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch, shuffle_partitions
-from .textkeys import blank_words, long_windows, word_hashes
+from .textkeys import blank_words, hashed_texts, long_windows, placed_texts
 
 GRAM = 16
 #: Stretches that one automaton is compiled from, unless one anchor has more.
 SHARD = 20_000
 _PLACE_BITS = np.uint64(30)
 _PLACE = np.uint64((1 << 30) - 1)
-_WORD = np.uint64((1 << 32) - 1)
 
 
 def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +63,8 @@ def _postings(window: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, places, anchors = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                anchor, place, _ = _anchors(word_hashes(blank_words(text)), window)
+            for key, hashes in zip(batch.column("key").to_pylist(), hashed_texts(batch.column("text").to_pylist()), strict=True):
+                anchor, place, _ = _anchors(hashes, window)
                 keys.append(np.full(len(place), key, dtype=np.int64))
                 places.append(place.astype(np.uint32))
                 anchors.append(anchor)
@@ -124,22 +125,23 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(window: int):
-    """(anchor, words, keys, starts): the words of all windows of a recurring anchor, equal ones of a batch folded."""
+    """(anchor, words, keys, starts): the text of all windows of a recurring anchor, equal ones of a batch folded."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             folded: dict[tuple[int, bytes], list[list[int]]] = defaultdict(lambda: [[], []])
-            for key, text, blobs in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places")), strict=True):
-                hashes = word_hashes(blank_words(text))
+            texts = batch.column("text").to_pylist()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "places")), strict=True)
+            for text, (key, blobs), (hashes, starts, ends) in zip(texts, keys, placed_texts(texts), strict=True):
                 anchor, place, first = _anchors(hashes, window)
                 end = np.r_[first[1:], len(hashes) - window + 1] + window - 1
                 wanted = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in blobs])
                 pick = np.flatnonzero(np.isin(place, wanted))
-                short = (hashes & _WORD).astype(np.uint32)
-                for a, s, e in zip(anchor[pick].view(np.int64).tolist(), first[pick].tolist(), end[pick].tolist(), strict=True):
-                    held = folded[a, short[s:e].tobytes()]
+                spans = zip(anchor[pick].view(np.int64).tolist(), first[pick].tolist(), starts[first[pick]].tolist(), ends[end[pick] - 1].tolist(), strict=True)
+                for a, word, s, e in spans:
+                    held = folded[a, text[s:e]]
                     held[0].append(key)
-                    held[1].append(s)
+                    held[1].append(word)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([a for a, _ in folded], pa.int64()),
@@ -167,34 +169,61 @@ def _runs_of(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def _witnesses(hashes: list[np.ndarray], weights: list[int], window: int) -> list[list[tuple[int, int]]]:
+    """Of each stretch the runs of words to compile: windows that recur and are met here first.
+
+    A run goes on as long as its windows always occur together, so it occurs
+    whole wherever any window of it does.
+    """
+    cuts = np.cumsum([0, *map(len, hashes)])
+    _, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    weight = np.repeat(weights, np.diff(cuts))
+    count = np.bincount(number, weights=weight)
+    # Steps from a window to the next one of the same stretch.
+    inner = np.ones(len(number), dtype=bool)
+    inner[cuts[1:] - 1] = False
+    at = np.flatnonzero(inner)
+    steps, of = np.unique(number[at] * len(count) + number[at + 1], return_inverse=True)
+    together = np.zeros(len(number), dtype=bool)
+    together[at] = np.bincount(of, weights=weight[at], minlength=len(steps))[of] == count[number[at]]
+    together[at] &= count[number[at]] == count[number[at + 1]]
+    witness = np.zeros(len(number), dtype=bool)
+    witness[first[count > 1]] = True
+    out = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        runs: list[tuple[int, int]] = []
+        for k in np.flatnonzero(witness[a:b]).tolist():
+            if runs and runs[-1][1] == k + window - 1 and together[a + k - 1]:
+                runs[-1] = (runs[-1][0], k + window)
+            else:
+                runs.append((k, k + window))
+        out.append(runs)
+    return out
+
+
 def _locate(window: int, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
     """Confirm, compile and stream one shard of stretches; (key, spans) of what is covered."""
     distinct: dict[bytes, list[tuple[bytes, bytes]]] = defaultdict(list)
     for words, keys, starts in rows:
         distinct[words].append((keys, starts))
-    words = [np.frombuffer(w, dtype=np.uint32) for w in distinct]
-    hashes = [long_windows(w.astype(np.uint64), window) for w in words]
-    weights = np.repeat([sum(len(k) // 8 for k, _ in held) for held in distinct.values()], [len(h) for h in hashes])
-    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    confirmed = np.bincount(inverse, weights=weights)[inverse] > 1
-    if not confirmed.any():
+    hashes = list(hashed_texts(list(distinct)))
+    runs = _witnesses([long_windows(h, window) for h in hashes], [sum(len(k) // 8 for k, _ in held) for held in distinct.values()], window)
+    if not any(runs):
         return None
-    cuts = np.cumsum([0, *map(len, hashes)])
-    passages, open_words = set(), []
-    for i, w in enumerate(words):
-        if (marks := confirmed[cuts[i] : cuts[i + 1]]).any():
-            as_tuple = tuple(w.tolist())
-            open_words.append((i, as_tuple))
-            passages.update(as_tuple[a : b + window - 1] for a, b in _runs_of(marks))
-    automaton = compile_passages(passages)
-    occurrences = list(distinct.values())
+    # The automaton's letters have 32 bits: the shard's words get numbers.
+    _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    cuts = np.cumsum([0, *map(len, hashes)]).tolist()
+    letters = [tuple(number[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    automaton = compile_passages({words[a:b] for words, spans in zip(letters, runs, strict=True) for a, b in spans})
     out_keys, out_spans = [], []
-    for i, as_tuple in open_words:
-        covered = np.zeros(len(as_tuple), dtype=bool)
-        for end, length in automaton.iter(as_tuple):
+    for words, occurrences in zip(letters, distinct.values(), strict=True):
+        covered = np.zeros(len(words), dtype=bool)
+        for end, length in automaton.iter(words):
             covered[end - length + 1 : end + 1] = True
         spans = np.array(_runs_of(covered), dtype=np.uint32)
-        for keys, starts in occurrences[i]:
+        if not len(spans):
+            continue
+        for keys, starts in occurrences:
             for key, start in zip(np.frombuffer(keys, dtype=np.int64).tolist(), np.frombuffer(starts, dtype=np.uint32), strict=True):
                 out_keys.append(key)
                 out_spans.append((spans + start).tobytes())

@@ -41,6 +41,12 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     A word's hash takes eight bytes at a time, so equal words have equal hashes
     in every task and run.
     """
+    hashes, cuts, _, _ = placed_words(texts)
+    return hashes, cuts
+
+
+def placed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hashed_words``, and where each word starts and ends, in bytes of its text."""
     held = [t or b"" for t in texts]
     # A blank before each text parts it from the one before; the padding lets the last words be read whole.
     joined = b" " + b" ".join(held) + b" " * 17
@@ -49,7 +55,10 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     places = np.cumsum([0, *(len(t) + 1 for t in held)]) + 1
-    return _hash_spans(joined, data, starts, ends - starts), np.searchsorted(starts, places)
+    cuts = np.searchsorted(starts, places)
+    hashes = _hash_spans(joined, data, starts, ends - starts)
+    before = np.repeat(places[:-1], np.diff(cuts))
+    return hashes, cuts, starts - before, ends - before
 
 
 def _hash_spans(joined: bytes, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -100,6 +109,13 @@ def hashed_texts(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield from (hashes[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
 
 
+def placed_texts(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hashes, first byte of each word, end of each word) of each text in turn."""
+    for start, end in slices(texts):
+        hashes, cuts, starts, ends = placed_words(texts[start:end])
+        yield from ((hashes[a:b], starts[a:b], ends[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Hashes of words without blanks."""
     return hashed_words([b" ".join(words)])[0]
