@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .textkeys import windows, word_hashes
+from .textkeys import hashed_texts, windows
 
 #: Words in a prefix shingle; windows of fewer words are one shingle.
 SHINGLE = 3
-#: Item text that one broadcast index is built from.
-BLOCK_BYTES = 16 << 20
+#: Item text that one broadcast index is built from; a window of it takes some 600 bytes, so an index about 100 MB.
+BLOCK_BYTES = 1 << 20
 _SIEVE = 1 << 20
 
 #: Bytes to bytes: A-Z folded, what no word may hold to a blank.
@@ -80,7 +80,7 @@ class ItemIndex:
         found = item_windows(items, window)
         self.windows = list(found)
         self.items = [sorted(x for x in ids if x is not None) for ids in found.values()]
-        self.shingles = [windows(word_hashes(list(w)), min(SHINGLE, len(w))) for w in self.windows]
+        self.shingles = [windows(h, min(SHINGLE, len(h))) for h in hashed_texts([b" ".join(w) for w in self.windows])]
         self.sieves: dict[int, _Sieve] = {}
         for size in {min(SHINGLE, len(w)) for w in self.windows}:
             of = [s for s, w in zip(self.shingles, self.windows, strict=True) if min(SHINGLE, len(w)) == size]
@@ -99,10 +99,12 @@ class ItemIndex:
             values = np.array(sorted(tokens), dtype=np.uint64)
             self.prefix[size] = _Sieve(values), [tokens[t] for t in values.tolist()]
 
-    def matches(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window number, first word) of every occurrence."""
+    def matches(self, text: bytes, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window number, first word) of every occurrence; ``text`` is folded and split only if need be."""
+        words: list[bytes] = []
         for size, (sieve, postings) in self.prefix.items():
             for place, token in zip(*(x.tolist() for x in sieve.find(windows(hashes, size))), strict=True):
+                words = words or text.split()
                 for number, offset in postings[token]:
                     wanted, start = self.windows[number], place - offset
                     if start >= 0 and start + len(wanted) <= len(words) and tuple(words[start : start + len(wanted)]) == wanted:
@@ -114,8 +116,7 @@ def _frequencies(shared):
         index: ItemIndex = shared.value
         counts = {size: np.zeros(len(s.values), dtype=np.int64) for size, s in index.sieves.items()}
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                hashes = word_hashes(fold_words(text))
+            for hashes in hashed_texts([t.translate(_FOLD) if t else None for t in batch.column("text").to_pylist()]):
                 for size, sieve in index.sieves.items():
                     counts[size][np.unique(sieve.find(windows(hashes, size))[1])] += 1
         for size, n in counts.items():
@@ -130,14 +131,14 @@ def _hits(shared):
         index: ItemIndex = shared.value
         for batch in batches:
             n_words, spans, items = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = fold_words(text)
-                hit, found = np.zeros(len(words), dtype=bool), set()
-                for number, start in index.matches(words, word_hashes(words)):
+            texts = [t.translate(_FOLD) if t else b"" for t in batch.column("text").to_pylist()]
+            for text, hashes in zip(texts, hashed_texts(texts), strict=True):
+                hit, found = np.zeros(len(hashes), dtype=bool), set()
+                for number, start in index.matches(text, hashes):
                     hit[start : start + len(index.windows[number])] = True
                     found.update(index.items[number])
                 edges = np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist()
-                n_words.append(len(words))
+                n_words.append(len(hashes))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 items.append(sorted(found))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
