@@ -4,8 +4,8 @@ A document is the set of its distinct word shingles; equal sets are folded
 into one first, so what is joined are sets, each with a number of its own.
 Under any order of shingles that all sets share, two sets of similarity p %
 have a shingle in common among the first n - ceil(p n / 100) + 1 of each, the
-prefix.  The order here is by hash, with the shingles that batches of
-documents hold most often moved to the end.
+prefix.  The order here is by hash, with the shingles that tasks meet most
+often among all documents moved to the end.
 
 All sets whose prefixes hold a shingle belong to the block named by the least
 set of that shingle's list, so every similar pair meets in a block.  Prefixes
@@ -42,12 +42,14 @@ from .tsearch import block_links
 BLOCK = 512
 #: Entries at most of the broadcast table of frequent shingles (under 1 MB).
 FREQUENT = 1 << 16
-#: A shingle met fewer times by batches that hold it twice is never called frequent.
+#: A shingle met fewer times, by tasks that hold it twice, is never called frequent.
 SELDOM = 32
 #: Bits of the broadcast filter of documents whose texts are needed (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Shingle postings that one bucket is meant to hold.
-BUCKET = 1_500_000
+BUCKET = 500_000
+#: Prefix tokens that a task gathers before it looks for repeated ones.
+GATHERED = 2_000_000
 ROUNDS = 40
 #: Copies of the members that the exhaustive step may send without a round of leaders before it.
 REPEAT = 8
@@ -85,19 +87,27 @@ def _set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _often_met(size: int, percent: int):
-    """(token, count) of prefix tokens, in hash order, that stand in two texts of a batch or more."""
+    """(token, count) of prefix tokens, in hash order, that stand in two of the texts a task has gathered or more."""
+
+    def repeated(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(parts))
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        counts = np.diff(np.r_[starts, len(tokens)])
+        again = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[starts[again]])), pa.array(counts[again].astype(np.int64))], names=["token", "count"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = [tokens[: len(tokens) + 1 + (-percent * len(tokens)) // 100] for tokens in shingle_sets(batch.column("text").to_pylist(), size) if len(tokens)]
-            if not parts:
-                continue
-            tokens = np.sort(np.concatenate(parts))
-            del parts
-            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-            counts = np.diff(np.r_[starts, len(tokens)])
-            again = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[starts[again]])), pa.array(counts[again].astype(np.int64))], names=["token", "count"])
+            for tokens in shingle_sets(batch.column("text").to_pylist(), size):
+                if len(tokens):
+                    parts.append(tokens[: len(tokens) + 1 + (-percent * len(tokens)) // 100].copy())
+                    held += len(parts[-1])
+                if held >= GATHERED:
+                    yield repeated(parts)
+                    parts, held = [], 0
+        if parts:
+            yield repeated(parts)
 
     return rows
 
@@ -522,8 +532,9 @@ def ngram_jaccard_join(
         # At most FREQUENT rows.
         members = members.union(often.join(F.broadcast(named), "token").select("block", "member"))
     members = scratch.keep(members.distinct(), "members")
-    members = scratch.keep(_banded(_merged_blocks(members), sets, percent), "blocks")
-    scratch.drop("often", "members")
+    members = scratch.keep(_merged_blocks(members), "merged")
+    members = scratch.keep(_banded(members, sets, percent), "blocks")
+    scratch.drop("often", "members", "merged")
 
     small = members.where(F.col("size") <= BLOCK).select("block", F.col("member").alias("vertex")).join(sets.select("vertex", "n", "prefix"), "vertex")
     possible = _sorted_by(small.select("block", "vertex", "n", "prefix"), max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
@@ -582,9 +593,10 @@ def ngram_jaccard_join(
     held = documents.where("vertex is not null").select("id", "vertex").distinct()
     ties = held.groupBy("id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high")
     tied = held.join(ties, "id").select(F.col("vertex").alias("a"), F.col("low").alias("b"))
-    every = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(tied)
-    final = connected_components(every, scratch, "final")
-    rooted = documents.join(final, "vertex", "left").select("id", "n", F.coalesce("root", "vertex").alias("root"))
+    tied = scratch.keep(tied, "tied")
+    if not tied.isEmpty():
+        roots = connected_components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(tied), scratch, "tied-roots")
+    rooted = documents.join(roots, "vertex", "left").select("id", "n", F.coalesce("root", "vertex").alias("root"))
     rooted = scratch.keep(rooted, "rooted")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while tables are written: batches of long texts are held several times over by JVM and workers.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` at most for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Named intermediate tables of one operator call."""
 
@@ -37,7 +55,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
