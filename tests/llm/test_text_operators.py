@@ -209,16 +209,41 @@ def test_packing(docs, texts, none):
 def test_plan_covers_every_piece(seed):
     rng = random.Random(seed)
     counts = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(20)} | ({100: 5} if seed else {})
-    groups = packing.plan(counts, 100, 30)
+    plan = packing.plan(counts, 100)
+    groups = plan.groups
     held = Counter()
     for g in groups:
         assert sum(n * k for n, k in g.parts) <= 100
         for n, k in g.parts:
             held[n] += k * g.count
     assert held == Counter(counts)
+    assert plan.by_program + plan.by_repair == sum(g.count for g in groups) >= plan.bound
     assert sum(g.count for g in groups) <= 1.05 * sum(n * c for n, c in counts.items()) / 100 + 2 or max(counts) > 50
 
 
+def test_the_program_lays_nearly_all_sequences():
+    rng = random.Random(2)
+    counts = Counter(min(2047, 1 + int(rng.lognormvariate(6, 1))) for _ in range(20_000))
+    plan = packing.plan(dict(counts))
+    held = Counter()
+    for g in plan.groups:
+        for n, k in g.parts:
+            held[n] += k * g.count
+    assert held == counts
+    assert plan.by_repair <= 0.05 * (plan.by_program + plan.by_repair)
+    assert plan.bound <= plan.by_program + plan.by_repair <= plan.bound * 1.002 + 1
+
+
+def test_other_tokenizer_files_are_taken_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"A": 1, "b": 2, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    assert tokens.tokenizer(str(tmp_path / "other.json")).ids("A b a") == array("I", [1, 2, 0]).tobytes()
+    assert tokens.tokenizer(vocabulary()).by_chunks
+
+
 def test_language(spark, none):
     words = {"en": "the and of to in that is was for with".split(), "de": "der die und das ist nicht ein zu mit für".split(), "fr": "le la et les des est une dans pour avec".split()}
     rng = random.Random(1)

@@ -3,15 +3,19 @@
 Only the histogram of piece lengths (at most ``capacity`` counts, whatever the
 corpus) reaches the driver.  The covering program "fewest sequences whose
 configurations cover every length's count" is solved by multiplicative
-weights: a dynamic program over the capacity prices the configuration of the
-largest total weight, it is taken up in a step that keeps the covered shares
-of its lengths together, and the weights of covered lengths fall.  The
-fractional solution is rounded down; what is left over is laid by best fit on
-the same histogram, longest first.
+weights: each length has a weight that falls by a factor as its pieces are
+covered, and one dynamic program over the capacity prices, for every length at
+once, the configuration of the largest total weight that holds it.  Those that
+fill a sequence exactly (or, once there are none, nearly) are taken up, each by
+at most a share of its scarcest length, so that lengths run out together.  Amounts are rounded down to whole
+sequences; what is left over at the end, a few hundredths, is repaired by best
+fit.  Any weights bound the program's value from below; the best bound met is
+reported with the plan.
 
 The plan is a list of configurations with multiplicities.  Each piece finds
 its own place in it from its rank among the pieces of its length; ranks are
-made of per-bucket counts, so no task holds a whole length class.
+made of per-bucket counts, so no task holds a whole length class.  Pieces that
+fill a sequence alone need no rank.
 """
 
 from __future__ import annotations
@@ -27,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, shuffle_partitions
+from .storage import Scratch
 from .tokens import tokenizer
 
 CAPACITY = 2048
-#: Pricing rounds at most, and the share of a length that one round may cover.
-ROUNDS = 100
-STEP = 0.5
+#: Pricing rounds at most, and the share of a length that one configuration of a round may cover.
+ROUNDS = 400
+STEP = 0.25
+#: Share of a sequence that the program's configurations may leave empty; what needs more is left to repair.
+SLACK = 1 / 16
 #: How fast the weight of a covered length falls.
-RATE = 2.0
+RATE = 0.1
+#: Hash buckets that a length's pieces are ranked in; bounds the broadcast table of counts to this many rows a length.
+BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -46,56 +54,81 @@ class Group:
     count: int
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> Counter:
-    """Knapsack by dynamic programming: lengths (repeats allowed) of the largest total weight."""
+@dataclass(frozen=True)
+class Plan:
+    """Groups of sequences; how many of them the program and the repair laid, and what no packing can go below."""
+
+    groups: list[Group]
+    by_program: int
+    by_repair: int
+    bound: float
+
+
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming, repeats allowed: for each room the largest total weight and the length to take first (-1: leave one place empty)."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, dtype=np.int64)
     ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
+    for room in range(int(lengths[0]), capacity + 1):
         best[room] = best[room - 1]
-        if ends[room]:
-            gains = best[room - lengths[: ends[room]]] + weights[: ends[room]]
-            k = int(gains.argmax())
-            if gains[k] > best[room]:
-                best[room], choice[room] = gains[k], k
-    taken, room = Counter(), capacity
+        gains = best[room - lengths[: ends[room]]] + weights[: ends[room]]
+        k = int(gains.argmax())
+        if gains[k] > best[room]:
+            best[room], choice[room] = gains[k], k
+    return best, choice
+
+
+def configuration(lengths: np.ndarray, choice: np.ndarray, room: int) -> Counter:
+    """The priced configuration of a room: how often it takes each length, by the length's place."""
+    taken: Counter = Counter()
     while room > 0:
-        k = choice[room]
+        k = int(choice[room])
         if k < 0:
             room -= 1
         else:
-            taken[int(lengths[k])] += 1
+            taken[k] += 1
             room -= int(lengths[k])
     return taken
 
 
-def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, float]]:
-    """Configurations and amounts that cover the counts in part, never over them."""
+def cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[Group], dict[int, int], float]:
+    """(sequences laid by the program, counts left for repair, lower bound of the program's value)."""
     lengths = np.array(sorted(counts), dtype=np.int64)
-    total = np.array([counts[n] for n in lengths.tolist()], dtype=float)
+    total = np.array([counts[n] for n in lengths.tolist()], dtype=np.int64)
     left = total.copy()
-    place = {n: i for i, n in enumerate(lengths.tolist())}
-    # At equal cover a length weighs as much as the room it takes; rests keep the configurations full.
-    dual = lengths.astype(float) ** 1.05
-    out = []
+    # At equal cover a length weighs as much as the room it takes, long ones a little more: short ones can wait.
+    weights = lengths / capacity * np.exp(RATE * lengths / capacity)
+    laid, bound, slack = Counter(), 0.0, 0
     for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
+        open_ = np.flatnonzero(left)
         if not len(open_):
             break
-        weights = dual[open_] * np.exp(-RATE * (1 - left[open_] / total[open_]) / capacity * lengths[open_])
-        taken = best_configuration(lengths[open_], weights, capacity)
-        if not taken:
-            break
-        at = np.array([place[n] for n in taken])
-        of = np.array(list(taken.values()), dtype=float)
-        amount = min(float((left[at] / of).min()), max(1.0, float((STEP * total[at] / of).min())))
-        if amount < 1:
-            # A configuration that repeats a length more often than it is left: use it up.
-            left[at[(left[at] / of).argmin()]] = 0
-            continue
-        left[at] -= amount * of
-        out.append((taken, amount))
-    return out
+        here, own = lengths[open_], weights[open_]
+        best, choice = price(here, own, capacity)
+        if len(open_) == len(lengths):
+            # No configuration weighs more than the best one, so each sequence covers at most that much.
+            bound = max(bound, float((total * weights).sum() / best[capacity]))
+        before = left.copy()
+        for k in np.argsort(-(own + best[capacity - here]), kind="stable").tolist():
+            if not left[open_[k]]:
+                continue
+            parts = configuration(here, choice, capacity - int(here[k]))
+            parts[k] += 1
+            at, of = open_[list(parts)], np.array(list(parts.values()))
+            if (lengths[at] * of).sum() < capacity - slack:
+                continue
+            amount = min(int((left[at] // of).min()), max(1, int((STEP * total[at] / of).min())))
+            if amount:
+                left[at] -= amount * of
+                laid[tuple(sorted(zip(lengths[at].tolist(), of.tolist(), strict=True), reverse=True))] += amount
+        if (before == left).all():
+            slack = 2 * slack + 1
+            if slack > SLACK * capacity:
+                break
+        # The lengths' weights fall with what was covered; all are scaled alike to keep their sum.
+        fall = np.exp(-RATE * lengths / capacity * ((before - left) / total))
+        weights = weights * fall * (weights.sum() / (weights * fall).sum())
+    return [Group(parts, n) for parts, n in laid.items()], {int(n): int(c) for n, c in zip(lengths, left, strict=True) if c}, bound
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
@@ -140,22 +173,17 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
     return [Group(tuple(sorted(parts.items(), reverse=True)), count) for parts, count in closed]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Group]:
-    """Groups of sequences that hold every piece of the histogram exactly once."""
-    left = {n: c for n, c in counts.items() if c}
-    if any(not 0 < n <= capacity for n in left):
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    """Sequences that hold every piece of the histogram exactly once."""
+    counts = {n: c for n, c in counts.items() if c}
+    if any(not 0 < n <= capacity for n in counts):
         raise ValueError("piece lengths must be from 1 to the capacity")
-    out = []
-    if full := left.pop(capacity, 0):
-        out.append(Group(((capacity, 1),), full))
-    rounded = []
-    for parts, amount in fractional_cover(left, capacity, rounds):
-        # Only full configurations are worth fixing; rests do better in the best fit.
-        if sum(n * k for n, k in parts.items()) == capacity and int(amount):
-            rounded.append(Group(tuple(sorted(parts.items(), reverse=True)), int(amount)))
-            for n, k in parts.items():
-                left[n] -= k * int(amount)
-    return out + rounded + best_fit({n: c for n, c in left.items() if c}, capacity)
+    if not counts:
+        return Plan([], 0, 0, 0.0)
+    program, left, bound = cover(counts, capacity, rounds)
+    repair = best_fit(left, capacity)
+    sizes = sum(n * c for n, c in counts.items()) / capacity
+    return Plan(program + repair, sum(g.count for g in program), sum(g.count for g in repair), max(bound, sizes))
 
 
 def segments(groups: list[Group]) -> dict[int, np.ndarray]:
@@ -226,21 +254,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     columns = f"id {id_type}, piece long, start long, length long, ids_crc32 long"
     pieces = scratch.keep(texts.mapInArrow(_pieces(tokenizer_path, capacity), columns), "pieces")
-    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts))
-    pieces = pieces.withColumn("bucket", bucket)
+    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS))
+    # Pieces of a whole sequence are alone in it: any number does that no planned sequence has.
+    alone = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.where(F.col("length") < capacity).withColumn("bucket", bucket)
     # Per length and bucket, how many pieces lie before: the plan needs one rank per piece.
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = scratch.keep(counts, "counts")
-    groups = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, rounds)
+    groups = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, rounds).groups
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(counts, ["length", "bucket"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
     placed = ranked.mapInArrow(_placed(spark.sparkContext.broadcast(segments(groups))), columns + ", sequence_id long, offset long")
-    return placed.withColumnRenamed("id", id_col)
+    return placed.unionByName(alone).withColumnRenamed("id", id_col)
