@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, shuffle_partitions
+from .storage import Scratch
 
 #: Fixed values of the published generator: key = key * 2862933555777941757 + 1.
 MULTIPLIER = 2862933555777941757
 _LOW = (1 << 32) - 1
+#: Hash buckets that a shard's rows are numbered in: the same in every session, and small at any size.
+BUCKETS = 4096
 
 
 def _times(half: Column, factor: int) -> Column:
@@ -65,7 +67,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     sized = docs.select(F.col(id_col).alias("id"), key.alias("key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     chain = sized.withColumn("chain", jump_chain(F.col("key"), shards))
-    bucket = F.pmod(F.xxhash64("key", "text_crc32"), F.lit(shuffle_partitions(spark)))
+    bucket = F.pmod(F.xxhash64("key", "text_crc32"), F.lit(BUCKETS))
     grown = F.when(F.col("chain.next") == shards, F.lit(shards)).otherwise(F.col("chain.shard"))
     rows = chain.select("id", "size", "text_crc32", F.col("chain.shard").cast("int").alias("shard"), grown.cast("int").alias("grown_shard"), bucket.alias("bucket"))
     rows = scratch.keep(rows, "rows")
