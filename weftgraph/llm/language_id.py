@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 1 << 13
@@ -122,13 +122,15 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     weights = np.zeros(DIMS, dtype=np.float32)
     for dim, n in seen.items():
         weights[dim] = np.log((1 + total) / (1 + n)) + 1
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     each = max(1, min(sample_each, sample_all // max(1, languages)))
-    # A hashed share of each language's rows, about ``each`` of them.
-    share = counts.select(F.col("lang").alias("of"), (F.lit(1_000_000) * each / F.col("count")).alias("share"))
-    sampled = rows.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1_000_000))).join(F.broadcast(share) if languages <= 10_000 else share, F.col("lang") == F.col("of"))
-    picked = sampled.where(F.col("draw") < F.col("share")).select("lang", "text").limit(2 * sample_all)
+    # Drawn by a 64-bit hash of the text: some more than ``each`` distinct texts a language, then the ``each`` of the least hashes.
+    drawn = F.col("draw") <= F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+    hashed = rows.select("lang", "text", F.xxhash64("lang", "text").alias("draw"))
+    sampled = hashed.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).where(drawn).select("lang", "text", "draw").dropDuplicates(["lang", "draw"])
+    least = Window.partitionBy("lang").orderBy("draw")
+    picked = sampled.withColumn("place", F.row_number().over(least)).where(F.col("place") <= each).select("lang", "text")
     found = picked.mapInArrow(_sample_grams, "lang string, dims binary, counts binary").collect()
     by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["counts"]))):
