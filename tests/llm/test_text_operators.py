@@ -110,6 +110,15 @@ def test_host_verdicts(spark):
     assert not got[100].kept and not got[100].base_failed and got[200].kept and got[101].kept
 
 
+def test_a_host_far_above_the_others_is_rejected_below_the_fixed_rate(spark):
+    """Thirty hosts fail in 4 to 8 of 50 documents, one in 22: it goes with its good documents, no other does."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(k, "no" if k < n else good, f"h{h}") for h, n in enumerate([4, 5, 6, 7, 8] * 6 + [22]) for k in range(50)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "i long, text string, source string")).collect()
+    assert {r.row.source for r in got if not r.kept and not r.base_failed} == {"h30"}
+    assert all(r.host_bound < 0.44 for r in got)
+
+
 def test_sharding(docs, texts, none):
     def jump(key, n):
         key &= (1 << 64) - 1

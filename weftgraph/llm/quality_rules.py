@@ -3,7 +3,9 @@
 A document's own rules come from its words, lines and repeats.  Hosts are
 judged by how many of their documents fail: each host's rate is shrunk towards
 a beta prior fitted to all hosts' rates by moments, so a host of few documents
-needs more than a few failures.  Host counts are combined before their
+needs more than a few failures.  The prior also says what is unusual: a host is
+rejected when its shrunk rate lies ``HOST_SDS`` standard deviations of the
+prior above the mean and is ``HOST_TIMES`` the mean, or over a fixed rate.  Host counts are combined before their
 shuffle; verdicts go back to documents by an equi-join that Spark broadcasts
 only when the written verdict table is under its size threshold.
 """
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 WINDOW = 8
+#: How far above the prior's mean a host's rate has to lie: in standard deviations of the prior, and as a multiple.
+HOST_SDS = 3.0
+HOST_TIMES = 2.0
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -87,7 +92,9 @@ def quality_rules(
     ``n_dup_lines``, ``n_repeat_words``, ``base_failed`` (fewer than
     ``min_words`` words, or more than ``max_repeat_percent`` % of them in
     repeated windows), ``host_rate`` (the shrunk share of the host's documents
-    that fail), ``kept`` (neither the document nor its host is rejected).
+    that fail), ``host_bound`` (the rate over which a host is rejected,
+    ``max_host_rate`` at most), ``kept`` (neither the document nor its host is
+    rejected).
 
     A null text has no words and fails; documents without a host form one host
     of their own; rows may repeat; columns of any name may be carried in
@@ -110,10 +117,12 @@ def quality_rules(
     prior = prior.select("mean", weight.alias("weight")).first()
     mean, strength = (prior["mean"] or 0.0), prior["weight"]
     shrunk = (F.col("bad") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    spread = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    bound = min(max_host_rate, max(mean + HOST_SDS * spread, HOST_TIMES * mean))
     verdicts = scratch.keep(hosts.select(F.col("host").alias("of"), shrunk.alias("host_rate")), "verdicts")
     judged = scored.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left")
-    kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
-    return judged.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= bound)
+    return judged.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", F.lit(bound).alias("host_bound"), kept.alias("kept"))
 
 
 ORACLE = r"""
@@ -136,6 +145,7 @@ h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM b
 q AS (SELECT avg(bad / n) AS mean, coalesce(var_pop(bad / n), 0) AS spread FROM h),
 z AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1e6) ELSE 1e6 END AS weight FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (bad + mean * weight) / (h.n + weight) <= 0.5 AS kept
+  NOT base_failed AND (bad + mean * weight) / (h.n + weight)
+    <= least(0.5, greatest(mean + 3 * sqrt(mean * (1 - mean) / (weight + 1)), 2 * mean)) AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source CROSS JOIN z
 """
