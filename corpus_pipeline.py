@@ -39,7 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marks = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
     marks = scratch.keep(marks.where("gone or n > 1").select("doc_id", "gone"), "marks")
     single = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.join(marks.where("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept_again = marks.where("not gone").select("doc_id")
+    if kept_again.isEmpty():
+        return single
+    repeated = docs.join(kept_again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated.select(*docs.columns))
 
 
