@@ -1,6 +1,7 @@
 """Pages, archives, secrets and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -13,7 +14,7 @@ import corpus_pipeline
 from weftgraph.llm import secret_scan
 from weftgraph.llm.html_density import extract_main_text, main_text
 from weftgraph.llm.secret_scan import KINDS, scan, scan_secrets
-from weftgraph.llm.warc import END, MAGIC, read_warc, record_chain, warc_round_trip
+from weftgraph.llm.warc import END, MAGIC, exits, reached, read_warc, warc_round_trip
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <nav><ul><li><a href=/a>Home of all the things</a></li></ul></nav><div class="cookie-notice">We use cookies on all pages</div>
@@ -96,14 +97,40 @@ def test_extraction_rows(spark):
     assert extract_main_text(rows.where("false")).count() == 0
 
 
-def test_chain_rejects_what_is_not_a_record():
+def test_pointer_jumping():
+    at, after = np.array([0, 10, 15, 20, 40]), np.array([10, 20, 30, 40, 90])
+    assert reached(at, after, 0).tolist() == [True, True, False, True, True]
+    assert reached(at, after, 15).tolist() == [False, False, True, False, False] and not reached(at, after, 7).any()
+    assert exits(at, after).tolist() == [90, 90, 30, 90, 90]
+
+
+@pytest.mark.parametrize("range_bytes", ["64m", "300b"])
+def test_chain_rejects_what_is_not_a_record(spark, tmp_path, range_bytes):
+    """Magic bytes in payloads, cut records, junk, gzip; byte ranges that end inside records, headers and magic bytes."""
     fake = MAGIC + b"Content-Length: 3\r\n\r\nabc" + END.encode()
     record = lambda body: MAGIC + b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + END.encode()
-    data = record(b"x" + fake + fake) + record(b"") + record(MAGIC)
-    bodies = [data[b:e] for _, b, e in record_chain(data)]
-    assert bodies == [b"x" + fake + fake, b"", MAGIC]
-    assert record_chain(b"") == record_chain(b"junk" + data) == []
-    assert len(record_chain(data[:-10])) == 2  # a record that is cut off has no successor
+    bodies = [b"x" + fake * 3, b"", MAGIC, b"long " * 60, *(b"%d" % k for k in range(20)), MAGIC * 2 + b"y" * 200 + MAGIC + b"z"]
+    data = b"".join(map(record, bodies))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "cut.warc").write_bytes(data[:-10])
+    (tmp_path / "junk.warc").write_bytes(b"junk" + data)
+    (tmp_path / "none.warc").write_bytes(b"")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(b)) for b in bodies))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted(bytes(r.payload) for r in read_warc(spark, f"file://{tmp_path}").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == sorted(bodies * 2 + bodies[:-1])
+
+
+def test_archives_of_named_pages(spark):
+    rows = [("b c>", "u", "same"), ("a", None, "same"), ("é", "v", "other")]
+    got = {tuple(r) for r in warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).select("page_id", "record_type", "refers_to").collect()}
+    assert got == {("a", "response", None), ("b c>", "revisit", "a"), ("é", "response", None)}
 
 
 def test_round_trip(spark, tmp_path):

@@ -1,6 +1,5 @@
 """Operators on whole texts against brute force, with nulls, blanks, copies and empty tables."""
 
-import base64
 import hashlib
 import random
 import re
@@ -269,14 +268,6 @@ def test_language(spark, none):
     assert {r.lang_pred for r in identify_language(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
-def test_digest_alphabet(spark):
-    from weftgraph.llm.warc import base32_sha1
-
-    rows = spark.createDataFrame([(bytearray(b""),), (bytearray(b"abc"),), (bytearray("é".encode() * 50),)], "b binary")
-    for r in rows.select("b", base32_sha1(F.col("b")).alias("d")).collect():
-        assert r.d == base64.b32encode(hashlib.sha1(bytes(r.b)).digest()).decode()
-
-
 def test_split_blocks_are_searched_after_the_last_turn(docs, texts, monkeypatch):
     for name, value in {"BLOCK": 3, "SELDOM": 3, "ROUNDS": 0}.items():
         monkeypatch.setattr(ngram_join, name, value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, warc
 from .decontaminate import benchmark_hits
 from .html_density import extract_main_text
 from .language_id import identify_language
@@ -109,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
