@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Scratch, shuffle_partitions
+from .storage import Scratch, filter_bits, shuffle_partitions
 from .textkeys import EMPTY, least_overlap, shingle_set, shingle_sets
 from .tsearch import block_links
 
@@ -330,10 +330,17 @@ def _of_set(size: int):
     """Rows whose text has the set that the row names: an id may be repeated with other texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            keys = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)
-            same = [_set_key(tokens) == key for tokens, key in zip(shingle_sets(batch.column("text").to_pylist(), size), keys, strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["vertex", "text"])
+            keys = zip(*(batch.column(c).to_pylist() for c in ("vertex", "h1", "h2")), strict=True)
+            fresh = []
+            for tokens, (vertex, h1, h2) in zip(shingle_sets(batch.column("text").to_pylist(), size), keys, strict=True):
+                fresh.append(vertex not in met and _set_key(tokens) == (h1, h2))
+                if fresh[-1]:
+                    if len(met) >= KEYS:
+                        met.clear()
+                    met.add(vertex)
+            yield batch.filter(pa.array(fresh, pa.bool_())).select(["vertex", "text"])
 
     return rows
 
@@ -358,6 +365,21 @@ def _able(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[np.ndar
     return able.tolist(), sets
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components with every vertex linked to its least one."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in list(up) if root(x) != x]
+
+
 def _block_search(size: int, percent: int):
     """Rows sorted by (block, part) to links (a, b); label: the component so far, asked: null, or whether to search for the row."""
 
@@ -371,7 +393,7 @@ def _block_search(size: int, percent: int):
             return []
         queries = None if asked[0] is None else [bool(asked[i]) for i in order]
         found = block_links([sets[i].tolist() for i in order], [sizes[i] for i in order], [labels[i] for i in order], queries, percent)
-        return [(vertices[order[x]], vertices[order[y]]) for x, y in found]
+        return _stars([(vertices[order[x]], vertices[order[y]]) for x, y in found])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -399,22 +421,6 @@ def _block_search(size: int, percent: int):
     return rows
 
 
-def _merged_blocks(members: DataFrame) -> DataFrame:
-    """Blocks whose naming document stands in a block of a lesser one join that one, two steps up.
-
-    Near copies then meet in one block instead of one for each of their
-    shingles' first holders.  Blocks are moved whole, so no pair is lost; what
-    would grow over ``BLOCK`` stays apart.
-    """
-    heads = members.groupBy("member").agg(F.min("block").alias("up"))
-    one = members.select("block").distinct().join(heads.withColumnRenamed("member", "block"), "block", "left").select("block", F.coalesce("up", "block").alias("at"))
-    two = one.join(heads.withColumnRenamed("member", "at"), "at", "left").select("block", F.coalesce("up", "at").alias("root"))
-    moved = members.join(two, "block")
-    sizes = moved.select("root", "member").distinct().groupBy("root").agg(F.count("*").alias("size"))
-    home = F.when(F.col("size") <= BLOCK, F.col("root")).otherwise(F.col("block"))
-    return moved.join(sizes, "root").select(home.alias("block"), "member").distinct()
-
-
 def _member_tokens(size: int):
     """(block, vertex, n, token) of every shingle of the rows' texts."""
 
@@ -441,25 +447,19 @@ def _thinned(members: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return small.unionByName(kept.join(sizes, "block").select(*members.columns))
 
 
-def _banded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(block, member, size) of the members that have another of a fitting set size in their block.
+def _cut(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(block, member, size): blocks cut into blocks of two neighbouring bands of set sizes each.
 
-    Sizes are put in bands as wide as the similarity lets two sizes differ, so
-    a fitting one lies in the same or the next band.  Blocks over ``BLOCK`` are
-    cut into blocks of two neighbouring bands each.
+    Bands are as wide as the similarity lets two sizes differ, so a fitting
+    one lies in the same or the next band.
     """
     width = math.log(max(1.01, 100 / percent)) * 1.0001
     banded = members.join(sets.select(F.col("vertex").alias("member"), F.floor(F.log("n") / width).cast("int").alias("band")), "member")
-    near = banded.groupBy("block", "band").agg(F.count("*").alias("size"))
-    near = near.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "size")
-    near = near.groupBy("block", "band").agg(F.sum("size").alias("near")).where("near > 1").select("block", "band")
-    kept = banded.join(near, ["block", "band"]).select("block", "member", "band")
-    sized = kept.join(kept.groupBy("block").agg(F.count("*").alias("size")), "block")
-    small = sized.where(F.col("size") <= BLOCK).select("block", "member", "size")
-    cut = sized.where(F.col("size") > BLOCK).select(F.explode(F.array(F.col("band") - 1, "band")).alias("band"), "block", "member")
-    cut = cut.select(F.xxhash64("block", "band").alias("block"), "member").distinct()
-    again = cut.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    return small.unionByName(cut.join(again, "block").select("block", "member", "size"))
+    cut = banded.select("block", "member", "band", F.explode(F.array(F.col("band") - 1, "band")).alias("lower"))
+    sizes = cut.groupBy("block", "lower").agg(F.count("*").alias("size"), F.min("band").alias("least"))
+    # A block without members of its lower band says nothing that the next one doesn't.
+    sizes = sizes.where((F.col("size") > 1) & (F.col("least") == F.col("lower"))).drop("least")
+    return cut.join(sizes, ["block", "lower"]).select(F.xxhash64("block", "lower").alias("block"), "member", "size")
 
 
 def _sorted_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
@@ -480,16 +480,14 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 
 def _needed_texts(texts: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(vertex, text) of the wanted (id, vertex, h1, h2)."""
+    """(vertex, text) of the wanted (id, vertex, h1, h2); a row that is repeated may come once for each task."""
     key = F.xxhash64("id").alias("key")
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     place = F.pmod(key, F.lit(FILTER_BITS))
     places = wanted.select(F.shiftright(place, 3).alias("place"), F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int")).alias("byte"))
-    for row in places.groupBy("place").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
-        bits[row["place"]] = row["byte"]
+    bits = filter_bits(places, FILTER_BITS)
     keyed = texts.where("id is not null").select("id", key, "text")
     held = keyed.mapInArrow(_in_filter(bits), keyed.schema).drop("key")
-    return scratch.keep(held.join(wanted, "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary").dropDuplicates(["vertex"]), "texts")
+    return scratch.keep(held.join(wanted, "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary"), "texts")
 
 
 def ngram_jaccard_join(
@@ -516,11 +514,9 @@ def ngram_jaccard_join(
     frequent = _frequent(counts)
 
     rows = scratch.keep(texts.mapInArrow(_prefix_rows(size, percent, frequent), f"id {id_type}, n long, h1 long, h2 long, prefix binary"), "rows")
-    sets = rows.where("prefix is not null").select("h1", "h2", "n", "prefix").dropDuplicates(["h1", "h2"])
+    sets = rows.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     sets = scratch.keep(sets.withColumn("vertex", F.monotonically_increasing_id()), "sets")
-    documents = rows.select("id", "n", "h1", "h2").join(sets.select("h1", "h2", "vertex"), ["h1", "h2"], "left").withColumn("vertex", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("vertex")))
-    documents = scratch.keep(documents, "documents")
-    scratch.drop("counts", "rows")
+    scratch.drop("counts")
 
     postings = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(parts, int(postings // BUCKET))
@@ -532,19 +528,23 @@ def ngram_jaccard_join(
         # At most FREQUENT rows.
         members = members.union(often.join(F.broadcast(named), "token").select("block", "member"))
     members = scratch.keep(members.distinct(), "members")
-    members = scratch.keep(_merged_blocks(members), "merged")
-    members = scratch.keep(_banded(members, sets, percent), "blocks")
-    scratch.drop("often", "members", "merged")
-
-    small = members.where(F.col("size") <= BLOCK).select("block", F.col("member").alias("vertex")).join(sets.select("vertex", "n", "prefix"), "vertex")
-    possible = _sorted_by(small.select("block", "vertex", "n", "prefix"), max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
-    members = scratch.keep(possible.unionByName(members.where(F.col("size") > BLOCK)), "possible")
-    scratch.drop("blocks")
-
-    wanted = documents.join(members.select(F.col("member").alias("vertex")).distinct(), "vertex").groupBy("vertex", "h1", "h2").agg(F.min("id").alias("id"))
+    scratch.drop("often")
+    large = scratch.keep(members.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("block"), "large")
+    split = not large.isEmpty()
+    if split:
+        cut = scratch.keep(_cut(members.join(large, "block", "left_semi"), sets, percent), "cut")
+        members = members.join(large, "block", "left_anti").unionByName(cut.where(F.col("size") <= BLOCK).select("block", "member"))
+
+    small = members.withColumnRenamed("member", "vertex").join(sets.select("vertex", "n", "prefix"), "vertex").select("block", "vertex", "n", "prefix")
+    possible = _sorted_by(small, max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
+    members = scratch.keep(possible.unionByName(cut.where(F.col("size") > BLOCK)) if split else possible, "possible")
+    scratch.drop("members", "large", "cut")
+
+    wanted = sets.join(members.select(F.col("member").alias("vertex")), "vertex", "left_semi").select("vertex", "h1", "h2", F.col("least").alias("id"))
     texts_of = _needed_texts(texts, scratch.keep(wanted, "wanted"), size, scratch)
-    scratch.drop("sets", "wanted")
-    if not members.where(F.col("size") > BLOCK).isEmpty():
+    scratch.drop("wanted")
+    split = split and not members.where(F.col("size") > BLOCK).isEmpty()
+    if split:
         members = scratch.keep(_thinned(members, texts_of, size, percent), "thinned")
     searched = _block_search(size, percent)
 
@@ -557,10 +557,9 @@ def ngram_jaccard_join(
         members.select("block", part.alias("part"), F.col("member").alias("vertex"), F.col("member").alias("label"), F.lit(None).cast("boolean").alias("asked")), "links"
     )
     roots = connected_components(links, scratch, "roots")
-    split = members.where(F.col("size") > BLOCK)
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 1) if split else ():
         # Blocks that were split: what is not yet in one component.
-        labelled = split.join(roots.withColumnRenamed("vertex", "member"), "member", "left").select("block", "member", F.coalesce("root", "member").alias("label"), part.alias("part"))
+        labelled = members.where(F.col("size") > BLOCK).join(roots.withColumnRenamed("vertex", "member"), "member", "left").select("block", "member", F.coalesce("root", "member").alias("label"), part.alias("part"))
         open_blocks = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         labelled = scratch.keep(labelled.join(open_blocks.select("block"), "block"), f"open-{turn}")
         if labelled.isEmpty():
@@ -590,13 +589,19 @@ def ngram_jaccard_join(
         break
 
     # An id whose rows have different sets ties those sets together.
-    held = documents.where("vertex is not null").select("id", "vertex").distinct()
-    ties = held.groupBy("id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high")
-    tied = held.join(ties, "id").select(F.col("vertex").alias("a"), F.col("low").alias("b"))
-    tied = scratch.keep(tied, "tied")
-    if not tied.isEmpty():
+    named = rows.where("id is not null and n > 0").select("id", "h1", "h2")
+    ties = named.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high")
+    ties = scratch.keep(ties, "ties")
+    vertices = sets.select("h1", "h2", "vertex")
+    if not ties.isEmpty():
+        lows = ties.select("id", F.col("low.h1").alias("h1"), F.col("low.h2").alias("h2")).join(vertices, ["h1", "h2"]).select("id", F.col("vertex").alias("b"))
+        tied = named.join(lows, "id").join(vertices, ["h1", "h2"]).select(F.col("vertex").alias("a"), "b").distinct()
         roots = connected_components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(tied), scratch, "tied-roots")
-    rooted = documents.join(roots, "vertex", "left").select("id", "n", F.coalesce("root", "vertex").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    # Components of several sets: the least id of all their sets.
+    joined = scratch.keep(roots.union(roots.select(F.col("root").alias("vertex"), "root")).distinct().join(sets.select("vertex", "least"), "vertex"), "joined")
+    least = joined.groupBy("root").agg(F.min("least").alias("together"))
+    components = sets.select("h1", "h2", "vertex", "least").join(joined.select("vertex", "root").join(least, "root").select("vertex", "together"), "vertex", "left")
+    components = components.select("h1", "h2", F.coalesce("together", "least").alias("component"))
+    out = rows.select("id", "n", "h1", "h2").join(components, ["h1", "h2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

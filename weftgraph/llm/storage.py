@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,5 +68,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def filter_bits(places: DataFrame, bits: int) -> np.ndarray:
+    """A bit filter of fixed size as bytes, from (place, byte) rows that are combined before they are sent."""
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    table = places.groupBy("place").agg(F.bit_or("byte").alias("byte")).toArrow()
+    out[table.column("place").to_numpy()] = table.column("byte").to_numpy()
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

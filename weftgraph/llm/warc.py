@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, filter_bits
 
 MAGIC = b"WARC/1.0\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -91,10 +91,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, lea
     # How often the first one's row is repeated: only one of them is the response.
     heads = narrow.withColumnRenamed("id", "first").join(groups, ["digest", "bytes", "first"]).groupBy("digest", "bytes", "first").agg(F.count("*").alias("heads"))
     groups = scratch.keep(groups.join(heads, ["digest", "bytes", "first"], "left"), "groups")
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    places = groups.select("digest").mapInArrow(_places, "place long, byte long").groupBy("place").agg(F.bit_or("byte").alias("byte"))
-    for r in places.toLocalIterator():
-        bits[r["place"]] = r["byte"]
+    bits = filter_bits(groups.select("digest").mapInArrow(_places, "place long, byte long"), FILTER_BITS)
     marked = rows.mapInArrow(_marked(bits), f"id {id_type}, url string, body binary, digest string, bytes long, again boolean")
     columns = lambda kind: ["id", "url", "body", "digest", "bytes", kind.alias("type"), F.when(kind == "revisit", F.col("first")).alias("refers_to")]
     alone = marked.where("not again").withColumn("first", F.lit(None).cast(id_type)).select(*columns(F.lit("response")))
