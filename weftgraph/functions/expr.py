@@ -281,7 +281,7 @@ class Expressions:
                 return inside
             if right.items[0].type == "bool":
                 return left.prop.cast_to("boolean").isin([i.literal for i in right.items])
-            kind = "double" if any(i.type == "float8" for i in right.items) else "bigint"
+            kind = "double" if left.prop.fractional or any(i.type == "float8" for i in right.items) else "bigint"
             return left.prop.cast_to(kind).isin([i.literal for i in right.items])
         return left.col.isin([i.literal for i in right.items]) if right.known else F.array_contains(right.col, left.col)
 

@@ -41,6 +41,10 @@ class Prop:
         kinds = ((StringType, "str"), (NumericType, "num"), (BooleanType, "bool"), (ArrayType, "arr"))
         return "any" if self.json else next((t for k, t in kinds if isinstance(self.type, k)), "str")
 
+    @property
+    def fractional(self) -> bool:
+        return not self.json and self.type.typeName() in ("double", "float", "decimal")
+
     def missing(self) -> Column:
         """Absent or null."""
         return self.col.isNull() | (self.col["t"] == "null") if self.json else self.col.isNull()
@@ -62,7 +66,8 @@ class Prop:
     def cast_to(self, kind: str) -> Column:
         """The text cast to int, bigint, double or boolean; a bad text aborts the query."""
         if self.tag == "num" and kind in ("int", "bigint", "double"):
-            return self.col.cast(kind)
+            # A typed number is compared as the number it is: a fraction is never cut off.
+            return self.col if kind != "double" and self.fractional else self.col.cast(kind)
         return self.text().cast(kind)
 
     def equals(self, value: object) -> Column:
