@@ -75,13 +75,18 @@ def test_merge_on_read_and_fold(spark, base, tmp_path):
     assert sorted(r.id for r in live.collect()) == [1, 2, 3]
     assert [r.id for r in walked.collect()] == [11]
     assert [r.id for r in C.pending_edges(nodes, log).collect()] == [12]
-    # Deleting a node hides its edges; putting it again brings them back.
+    # Deleting a node deletes its edges; putting it again doesn't bring them back.
     gone = log.union(C.delete_nodes(spark.createDataFrame([(3,)], "id long"), 4))
     assert C.merged_view(nodes, edges, gone)[1].count() == 0
     back = gone.union(C.put_nodes(spark.createDataFrame([(3, ["A"], "{}")], NODES), 5))
-    assert C.differences(C.merged_view(nodes, edges, back)[1], walked) == 0
+    assert C.merged_view(nodes, edges, back)[1].count() == 0
+    again = back.union(C.put_edges(spark.createDataFrame([(11, 2, 3, "R", None)], EDGES), 6))
+    for log_of in (again, C.merge_segments(again.where("seq < 5"), again.where("seq >= 5"))):
+        assert C.differences(C.merged_view(nodes, edges, log_of)[1], walked) == 0
+    assert C.merged_view(nodes, edges, C.merge_segments(back.where("seq < 5"), back.where("seq >= 5")))[1].count() == 0
     left = C.fold(nodes, edges, log, f"file://{tmp_path}/base")
-    folded = spark.read.parquet(f"file://{tmp_path}/base/nodes"), spark.read.parquet(f"file://{tmp_path}/base/edges")
+    (tmp_path / "base" / "fold-99999999999999999999-broken").mkdir()  # a fold that stopped before its manifest
+    folded = C.folded(spark, f"file://{tmp_path}/base")[:2]
     late = left.union(C.put_nodes(spark.createDataFrame([(9, ["B"], "{}")], NODES), 6))
     assert sorted(r.id for r in C.merged_view(*folded, late)[1].collect()) == [11, 12]
     half = C.merge_segments(log.where("seq < 2"), log.where("seq >= 2"))

@@ -18,15 +18,23 @@ from ..model import Graph, NodeTable
 FORMAT = 1
 
 
-def _file(spark: SparkSession, path: str):
+def file_of(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file in any store that Spark writes to."""
+    system, at = file_of(spark, path)
+    out = system.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def save_graph(graph: Graph, path: str, sequence: int = 0, lineage: str | None = None) -> str:
     """Write all tables, then the manifest; returns the lineage id."""
     spark, lineage = graph.spark, lineage or uuid.uuid4().hex
-    system, at = _file(spark, path)
+    system, at = file_of(spark, path)
     if system.exists(at):
         raise refuse(f"{path} exists", "snapshot_exists")
     nodes, edges = [], {}
@@ -37,15 +45,12 @@ def save_graph(graph: Graph, path: str, sequence: int = 0, lineage: str | None =
         df.write.parquet(f"{path}/edges-{i}")
         edges[kind] = {"table": f"edges-{i}", "rows": spark.read.parquet(f"{path}/edges-{i}").count()}
     manifest = {"format": FORMAT, "lineage": lineage, "sequence": sequence, "json": graph.json, "nodes": nodes, "edges": edges}
-    system, at = _file(spark, f"{path}/manifest.json")
-    out = system.create(at, False)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
     return lineage
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    system, at = _file(spark, f"{path}/manifest.json")
+    system, at = file_of(spark, f"{path}/manifest.json")
     if not system.exists(at):
         raise refuse(f"{path} has no manifest", "snapshot_incomplete")
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))

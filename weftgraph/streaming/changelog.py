@@ -2,18 +2,24 @@
 
 A change is a row ``(seq, entity, id, op, src, dst, kind, kinds, properties)``:
 the full new state of a node or edge (op ``put``) or a tombstone (``del``).
-The newest change of an id wins; edges of dead nodes are hidden; edges whose
-ends have not come yet wait in the log.
+The newest change of an id wins.  A node's tombstone takes along every edge of
+it that was there before; putting the node again doesn't bring them back.
+Edges whose ends have not come yet wait in the log.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from ..errors import refuse
 from ..model import Graph
 from ..sources.documents import free_graph
+from ..sources.snapshot import file_of, write_text
 
 _LONG = ("seq", "id", "src", "dst")
 CHANGE = StructType(
@@ -41,7 +47,7 @@ def put_edges(edges: DataFrame, seq: int | Column) -> DataFrame:
 
 
 def delete_nodes(ids: DataFrame, seq: int | Column) -> DataFrame:
-    """Tombstones of nodes; their edges need none, they are hidden with an end."""
+    """Tombstones of nodes; edges that are older than one of an end need none of their own."""
     return _changes(ids.select("id"), seq, "node", "del")
 
 
@@ -62,7 +68,7 @@ def delete_edges_by_kinds(edges: DataFrame, seq: int | Column, kinds: list[str])
 
 
 def wipe(nodes: DataFrame, seq: int | Column) -> DataFrame:
-    """Tombstones of all nodes; all edges are hidden with them."""
+    """Tombstones of all nodes, and with them of all their edges."""
     return delete_nodes(nodes, seq)
 
 
@@ -131,16 +137,25 @@ def newest(log: DataFrame) -> DataFrame:
     return log.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
 
 
+def _without_dead_ends(edges: DataFrame, log: DataFrame) -> DataFrame:
+    """Edges (with ``seq``, null in a base) that no end's tombstone of the same or a later number took along."""
+    gone = log.where("entity = 'node' and op = 'del'").groupBy("id").agg(F.max("seq").alias("_gone")).withColumnRenamed("id", "_dead")
+    for end in ("src", "dst"):
+        older = (F.col(end) == F.col("_dead")) & (F.col("seq").isNull() | (F.col("seq") <= F.col("_gone")))
+        edges = edges.join(gone, older, "left_anti")
+    return edges
+
+
 def merged_view(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as of the log: base rows without newer changes, and the changes."""
     last = newest(log)
     changed = {e: last.where(F.col("entity") == e) for e in ("node", "edge")}
 
     def over(base: DataFrame, entity: str, columns: tuple[str, ...]) -> DataFrame:
-        kept = base.select(*columns).join(changed[entity].select("id"), "id", "left_anti")
-        return kept.unionByName(changed[entity].where("op = 'put'").select(*columns))
+        kept = base.select(*columns).join(changed[entity].select("id"), "id", "left_anti").withColumn("seq", F.lit(None).cast("long"))
+        return kept.unionByName(changed[entity].where("op = 'put'").select(*columns, "seq"))
 
-    live, walked = over(nodes, "node", _NODE), over(edges, "edge", _EDGE)
+    live, walked = over(nodes, "node", _NODE).drop("seq"), _without_dead_ends(over(edges, "edge", _EDGE), log).select(*_EDGE)
     for end in ("src", "dst"):
         walked = walked.join(live.select(F.col("id").alias("_n")), F.col(end) == F.col("_n"), "left_semi")
     return live, walked
@@ -150,24 +165,50 @@ def pending_edges(nodes: DataFrame, log: DataFrame) -> DataFrame:
     """Edge changes of which an end is not there (yet); folding carries them over."""
     last = newest(log)
     live, _ = merged_view(nodes, nodes.sparkSession.createDataFrame([], "id long, src long, dst long, kind string, properties string"), log)
-    edges = last.where("entity = 'edge' and op = 'put'")
+    edges = _without_dead_ends(last.where("entity = 'edge' and op = 'put'"), log)
     both = edges.join(live.select(F.col("id").alias("_a")), F.col("src") == F.col("_a"), "left_semi").join(live.select(F.col("id").alias("_b")), F.col("dst") == F.col("_b"), "left_semi")
-    return edges.join(both.select("id"), "id", "left_anti")
+    return edges.join(both.select("id"), "id", "left_anti").select(*CHANGE.fieldNames())
 
 
 def merge_segments(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """One log of two: the newest change of every id."""
-    return newest(older.unionByName(newer))
+    """One log of two: the newest change of every id, and a node's last tombstone for the edges it took along."""
+    both = older.unionByName(newer)
+    last = newest(both)
+    tombs = newest(both.where("entity = 'node' and op = 'del'"))
+    return last.unionByName(tombs.join(last.where("op = 'del'").select("entity", "id"), ["entity", "id"], "left_anti").select(*last.columns))
 
 
 def fold(nodes: DataFrame, edges: DataFrame, log: DataFrame, path: str) -> DataFrame:
-    """Write base and log as a new base under ``path``; returns what stays in the log."""
+    """Write base and log as a new base under ``path``; returns what stays in the log.
+
+    Every fold has a folder of its own and its manifest is written last, so a
+    reader sees the fold before until this one is whole.
+    """
+    spark = nodes.sparkSession
+    number = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    folder = f"{path}/fold-{number:020d}-{uuid.uuid4().hex[:8]}"
     live, walked = merged_view(nodes, edges, log)
-    left = pending_edges(nodes, log)
-    live.write.parquet(f"{path}/nodes")
-    walked.write.parquet(f"{path}/edges")
-    left.write.parquet(f"{path}/log")
-    return nodes.sparkSession.read.schema(CHANGE).parquet(f"{path}/log")
+    rows = {}
+    for name, df in (("nodes", live), ("edges", walked), ("log", pending_edges(nodes, log))):
+        df.write.parquet(f"{folder}/{name}")
+        rows[name] = spark.read.parquet(f"{folder}/{name}").count()
+    write_text(spark, f"{folder}/manifest.json", json.dumps({"sequence": number, "rows": rows}))
+    return folded(spark, path)[2]
+
+
+def folded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, log) of the newest whole fold under ``path``."""
+    system, at = file_of(spark, path)
+    names = sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+    whole = [n for n in names if n.startswith("fold-") and system.exists(file_of(spark, f"{path}/{n}/manifest.json")[1])]
+    if not whole:
+        raise refuse(f"{path} has no whole fold", "snapshot_incomplete")
+    folder = f"{path}/{whole[-1]}"
+    rows = json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))["rows"]
+    tables = tuple(spark.read.parquet(f"{folder}/{name}") for name in ("nodes", "edges", "log"))
+    if any(df.count() != rows[name] for name, df in zip(("nodes", "edges", "log"), tables, strict=True)):
+        raise refuse("row counts differ from the manifest", "snapshot_damaged")
+    return tables
 
 
 def merged_graph(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> Graph:
