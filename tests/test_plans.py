@@ -43,3 +43,15 @@ def test_join_kinds(spark, name, kind):
 
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(queries()["order_limit"](spark, SF))
+
+
+def test_ids_reach_the_scan(graph):
+    for text in ("MATCH (c:Customer) WHERE id(c) = 3000000000007 RETURN c.name AS n", "MATCH (c:Customer) WHERE id(c) IN [3000000000007, 3000000000009] RETURN c.name AS n"):
+        made = graph.query(text)
+        assert "c_custkey" in (pushed := next(line for line in plan(made).splitlines() if "PushedFilters" in line)) and ("EqualTo" in pushed or "In(" in pushed)
+        assert made.count() == text.count("30000")
+
+
+def test_derived_edges_are_written_once(graph):
+    text = plan(graph.query("MATCH (o:Order)-[:CONTAINS]->(p:Part) WHERE p.size < 5 RETURN count(*) AS n"))
+    assert "lineitem.parquet" not in text and "saved-" in text

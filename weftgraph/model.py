@@ -8,6 +8,7 @@ key; JSON null: t = 'null').  Queries see both through ``functions.props``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,27 @@ JSON_VALUE = "struct<t:string,txt:string,num:double,bool:boolean,arr:array<strin
 
 @dataclass(frozen=True)
 class NodeTable:
-    """Rows ``id``, ``kinds`` and properties; every row has ``always``, some have ``maybe``."""
+    """Rows ``id``, ``kinds`` and properties; every row has ``always``, some have ``maybe``.
+
+    With ``base`` and ``key`` the table's ids are ``base`` plus its column
+    ``key`` (no property), so wanted ids become a filter of a stored column.
+    """
 
     df: DataFrame
     always: frozenset[str]
     maybe: frozenset[str] = frozenset()
+    base: int | None = None
+    key: str | None = None
+
+    def of_ids(self, ids: list[int]) -> DataFrame:
+        """The rows of these ids, and perhaps others."""
+        if self.key is None:
+            return self.df.where(F.col("id").isin(ids))
+        return self.df.where(F.col(self.key).isin([i - self.base for i in ids]))
 
     @property
     def props(self) -> dict[str, DataType]:
-        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("id", "kinds")}
+        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("id", "kinds", self.key)}
 
 
 @dataclass
@@ -46,6 +59,8 @@ class Graph:
     json: bool = False
     #: Epoch seconds that datetime() reads; the session's clock if not given.
     now: int | None = None
+    #: What is done with an edge table (kind, table) when a query reads it, such as saving a derived one.
+    keep: Callable[[str, DataFrame], DataFrame] | None = None
     _types: dict[str, DataType] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -75,13 +90,16 @@ class Graph:
         wanted = self.prop_type(name, edge)
         return F.col(f"`{name}`").cast(wanted) if name in df.columns else F.lit(None).cast(wanted)
 
-    def nodes(self, kinds: tuple[str, ...] = (), props: tuple[str, ...] = ()) -> DataFrame:
-        """``id``, ``kinds`` and the wanted properties (``p_0``, ``p_1``, ...) of nodes with all ``kinds``."""
+    def nodes(self, kinds: tuple[str, ...] = (), props: tuple[str, ...] = (), ids: list[int] | None = None) -> DataFrame:
+        """``id``, ``kinds`` and the wanted properties (``p_0``, ``p_1``, ...) of nodes with all ``kinds``.
+
+        With ``ids`` other nodes may be left out before they are read.
+        """
         out = None
         for table in self.node_tables:
             if not set(kinds) <= table.always | table.maybe:
                 continue
-            df = table.df
+            df = table.df if ids is None else table.of_ids(ids)
             for kind in sorted(set(kinds) - table.always):
                 df = df.where(F.array_contains("kinds", kind))
             df = df.select("id", "kinds", *(self._value(df, p, False).alias(f"p_{i}") for i, p in enumerate(props)))
@@ -97,6 +115,7 @@ class Graph:
         for kind, df in self.edge_tables.items():
             if kinds and kind not in kinds:
                 continue
+            df = self.keep(kind, df) if self.keep else df
             df = df.select("id", "src", "dst", F.lit(kind).alias("kind"), *(self._value(df, p, True).alias(f"p_{i}") for i, p in enumerate(props)))
             out = df if out is None else out.unionByName(df)
         if out is None:

@@ -62,6 +62,21 @@ def turned_about(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(*(F.col({a: b, b: a}.get(c, c)).alias(c) for c in df.columns))
 
 
+def wanted_ids(name: str | None, parts: list) -> list[int] | None:
+    """The ids that a conjunct ``id(name) = n`` or ``id(name) IN [...]`` leaves, None if there is none."""
+    for part in parts:
+        if not (name and isinstance(part, A.Binary) and part.op in ("=", "in")):
+            continue
+        sides = [(part.left, part.right)] + ([(part.right, part.left)] if part.op == "=" else [])
+        for call, other in sides:
+            if isinstance(call, A.Call) and call.name == "id" and call.args == (A.Variable(name),):
+                items = other.items if part.op == "in" and isinstance(other, A.ListLiteral) else (other,) if part.op == "=" else ()
+                values = [x.value for x in items if isinstance(x, A.Literal) and isinstance(x.value, int) and not isinstance(x.value, bool)]
+                if items and len(values) == len(items):
+                    return values
+    return None
+
+
 class Compiler:
     def __init__(self, graph, parameters: dict, shortest: str | None, strict: bool) -> None:
         self.graph, self.parameters, self.shortest, self.strict = graph, parameters, shortest, strict
@@ -140,7 +155,7 @@ class Compiler:
         """Nodes of a pattern with its conditions applied, under fresh column names."""
         props = self.props_of(pattern.name, {k for k, _ in pattern.props})
         stem = self.fresh("n")
-        df = self.graph.nodes(pattern.kinds, tuple(props))
+        df = self.graph.nodes(pattern.kinds, tuple(props), wanted_ids(pattern.name, parts))
         renamed = {"id": f"{stem}_id", "kinds": f"{stem}_kinds"} | {f"p_{i}": f"{stem}_p{i}" for i in range(len(props))}
         df = df.select(*(F.col(a).alias(b) for a, b in renamed.items()))
         symbol = Symbol("node", {"id": f"{stem}_id", "kinds": f"{stem}_kinds"}, {p: f"{stem}_p{i}" for i, p in enumerate(props)})
@@ -523,7 +538,7 @@ class Compiler:
             return (F.collect_set(col) if call.distinct else F.collect_list(col)), "list"
         number = value.prop.cast_to("double") if value.prop and value.prop.tag in ("any", "num") and call.name in ("sum", "avg") else value.plain()
         if call.distinct and call.name in ("sum", "avg"):
-            return {"sum": F.sum_distinct, "avg": lambda c: F.avg(c)}[call.name](number), "float8"
+            return (F.sum_distinct(number) if call.name == "sum" else F.sum_distinct(number) / F.count_distinct(number)), "float8"
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[call.name](number), value.type if value.type != "prop" else "text" if call.name in ("min", "max") and value.prop.tag == "str" else "float8"
 
     def finish(self, frame: Frame, clause: A.Project) -> DataFrame:

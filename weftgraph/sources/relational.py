@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph, NodeTable
+from .scratch import saved
 
 #: Node ids are NODE_BASE * kind number + key; edge ids likewise.
 NODE_BASE = 10**12
@@ -15,6 +16,8 @@ EDGE_NUMBERS = {"IN_REGION": 1, "IN_NATION": 2, "PLACED": 3, "CONTAINS": 4, "SUP
 #: Customers with a balance above this are also of kind VIP.
 VIP_BALANCE = 9000
 _PAIR = 10**7
+#: Edges that are grouped or ordered rows of a table: written once a session.
+DERIVED = frozenset(("CONTAINS", "SUPPLIED_BY", "NEXT", "NEXT_TURN"))
 
 
 def _id(kind: str, key):
@@ -39,7 +42,9 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> Graph:
         kinds = F.array(F.lit(kind))
         if maybe:
             kinds = F.when(condition, F.array(F.lit(kind), F.lit(maybe))).otherwise(kinds)
-        return NodeTable(df.select(_id(kind, key).alias("id"), kinds.alias("kinds"), *props), frozenset([kind]), frozenset([maybe] if maybe else []))
+        # Whole-number keys stay beside the ids, so that a filter on an id reaches the scan.
+        rows = df.select(_id(kind, key).alias("id"), kinds.alias("kinds"), key.alias("_key"), *props)
+        return NodeTable(rows, frozenset([kind]), frozenset([maybe] if maybe else []), NODE_NUMBERS[kind] * NODE_BASE, "_key")
 
     def p(column: str, name: str):
         return F.col(column).alias(name)
@@ -83,4 +88,5 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> Graph:
             "NEXT": edges("NEXT", following, F.col("event_id"), _id("Event", F.col("event_id")), _id("Event", F.col("next"))),
             "NEXT_TURN": edges("NEXT_TURN", spoken, turn_key, _id("Turn", turn_key), _id("Turn", F.col("conv_id") * 1000 + F.col("next"))),
         },
+        keep=lambda kind, df: saved(df, "commerce", kind) if kind in DERIVED else df,
     )
