@@ -167,3 +167,104 @@ def test_builder(graph):
     assert [(r.nodes, r.edges) for r in paths] == [([2, 3, 1], [11, 12])]
     with pytest.raises(UnsupportedQuery):
         nodes.filter(node_kinds()).count()
+
+
+STRICT = {
+    "MATCH (c:Customer) RETURN c.name AS n ORDER BY n": "collation",
+    "MATCH (c:Customer) WHERE c.name < c.mktsegment RETURN id(c) AS i": "collation",
+    "MATCH (c:Customer) WHERE c.name =~ '.*\\\\d' RETURN id(c) AS i": "unsupported",
+    "MATCH (c:Customer) WHERE c.name =~ '(?s)x' RETURN id(c) AS i": "unsupported",
+    "MATCH (c:Customer) WHERE c.name =~ 'x{300}' RETURN id(c) AS i": "unsupported",
+    "MATCH (c:Customer) WHERE c.name =~ '[[:alpha:]]' RETURN id(c) AS i": "unsupported",
+    "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(c)-[:PLACED]->(o) RETURN id(n) AS i": "unsupported",
+    "MATCH (n:Nation) OPTIONAL MATCH (m:Region) RETURN id(n) AS i": "unsupported",
+    "MATCH (n:Nation) OPTIONAL MATCH (n)-[:IN_REGION]->(r) RETURN id(n) AS i ORDER BY i": "unsupported",
+    "MATCH (n:Nation) WITH n, null AS x RETURN id(n) AS i": "unsupported",
+    "MATCH (n:Nation) WITH n, true AS x RETURN id(n) AS i": "unsupported",
+    "MATCH (n:Nation) WITH 'a' AS x RETURN x": "unsupported",
+    "MATCH (p:Part) WHERE 5 = p.size RETURN id(p) AS i": "unsupported",
+    "MATCH (p:Part) WHERE p.size = -5 RETURN id(p) AS i": "unsupported",
+    "MATCH (p:Part) RETURN p.size + 1 AS s": "unsupported",
+    "MATCH (p:Part) RETURN 1 AS s": "unsupported",
+    "MATCH (a:Region)-[:IN_REGION]-(b)-[:IN_NATION]-(c) RETURN id(a) AS i": "unsupported",
+    "MATCH (n:Nation) MATCH (n) RETURN id(n) AS i": "unsupported",
+    "MATCH (p:Part) WHERE p.size + p.retailprice > 7 RETURN id(p) AS i": "unsupported",
+    "MATCH (p:Part) WHERE -p.size > 7 RETURN id(p) AS i": "unsupported",
+    "MATCH (n:Nation)-[:IN_REGION*0..0]->(m) RETURN id(n) AS i": "unsupported",
+    "MATCH (a:Region), p = shortestPath((b:Nation)-[:IN_REGION*1..]->(c:Region)) RETURN id(a) AS i": "unsupported",
+    "MATCH (n:Nation) WHERE id(n) IS NULL RETURN id(n) AS i": "unsupported",
+    "MATCH (p:Part) WHERE p.size IN [1, 'a'] RETURN id(p) AS i": "unsupported",
+    "MATCH (p:Part) WHERE p.size IN [1, null] RETURN id(p) AS i": "unsupported",
+    "MATCH (c:Customer) WHERE c.acctbal > 9234 RETURN id(c) AS i": "unsupported",
+    "MATCH (c:Customer) WHERE c.acctbal IN [9234] RETURN id(c) AS i": "unsupported",
+}
+ANSWERED = [
+    "MATCH (c:Customer) WHERE c.acctbal > 9234.5 RETURN id(c) AS i ORDER BY c.acctbal LIMIT 3",
+    "MATCH (c:Customer) WHERE c.name =~ '(?i).*7' RETURN id(c) AS i",
+    "MATCH (n:Nation) OPTIONAL MATCH (n)-[:IN_REGION]->(r) RETURN id(n) AS i, id(r) AS j",
+    "MATCH (p:Part) WHERE p.size + 1 > 7 AND p.size IN [7, 8] RETURN id(p) AS i",
+    "MATCH (a:Region)-[:IN_REGION]-(b) RETURN id(a) AS i",
+]
+
+
+@pytest.fixture(scope="module")
+def commerce(spark):
+    from weftgraph.sources.relational import commerce_graph
+
+    return commerce_graph(spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("text", STRICT)
+def test_strict_catalogue(commerce, text):
+    with pytest.raises(UnsupportedQuery) as refused:
+        commerce.query(text, strict=True)
+    assert refused.value.reason == STRICT[text]
+
+
+@pytest.mark.parametrize("text", ANSWERED)
+def test_strict_answers_the_core(commerce, text):
+    assert commerce.query(text, strict=True).columns
+
+
+def test_numbers_are_compared_as_numbers(commerce):
+    count = lambda where: commerce.query(f"MATCH (c:Customer) WHERE {where} RETURN count(c) AS n").first().n
+    value = commerce.query("MATCH (c:Customer) WHERE c.acctbal > 0 RETURN c.acctbal AS b ORDER BY b DESC LIMIT 1").first().b
+    whole = int(value)
+    assert value != whole and count(f"c.acctbal > {whole}") == 1 and count(f"c.acctbal IN [{whole}]") == 0 and count(f"c.acctbal = {value}") == 1
+
+
+def test_search_budgets(spark):
+    nodes = spark.createDataFrame([(i, ["N"], "{}") for i in range(12)], "id long, kinds array<string>, properties string")
+    edges = spark.createDataFrame([(100 + 12 * a + b, a, b, "R", None) for a in range(12) for b in range(12) if a != b], "id long, src long, dst long, kind string, properties string")
+    graph = free_graph(nodes, edges)
+    graph.budget = 100
+    for text in ("MATCH (a)-[:R*1..3]->(b) RETURN count(*) AS n", "MATCH (a:N), (b:N) RETURN count(*) AS n"):
+        with pytest.raises(UnsupportedQuery) as refused:
+            graph.query(text).collect()
+        assert refused.value.reason == "budget"
+    assert graph.query("MATCH (a:N), (b:N) WHERE id(a) = id(b) RETURN count(*) AS n").first().n == 12
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pruned_trails_are_all_trails(spark, seed):
+    """Long ranges towards a bound or narrowed end, against plain enumeration; overall shortest paths search as one."""
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(14)})
+    nodes = spark.createDataFrame([(i, ["S"] if i < 2 else ["T"] if i > 6 else ["N"], "{}") for i in range(9)], "id long, kinds array<string>, properties string")
+    edges = spark.createDataFrame([(100 + k, a, b, "R", None) for k, (a, b) in enumerate(pairs)], "id long, src long, dst long, kind string, properties string")
+    graph = free_graph(nodes, edges)
+
+    def walk(at, used):
+        yield at, len(used)
+        if len(used) < 5:
+            for k, (a, b) in enumerate(pairs):
+                if a == at and k not in used:
+                    yield from walk(b, [*used, k])
+
+    want = sorted((s, t, n) for s in (0, 1) for t, n in walk(s, []) if t in (7, 8) and n)
+    got = graph.query("MATCH p = (a:S)-[:R*1..5]->(b:T) RETURN id(a) AS a, id(b) AS b, length(p) AS n").collect()
+    assert sorted(map(tuple, got)) == want
+    if want:
+        least = min(n for *_, n in want)
+        got = graph.query("MATCH p = allShortestPaths((a:S)-[:R*1..]->(b:T)) RETURN id(a) AS a, id(b) AS b, length(p) AS n", shortest="overall").collect()
+        assert sorted(map(tuple, got)) == [x for x in want if x[2] == least]

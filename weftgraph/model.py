@@ -59,6 +59,8 @@ class Graph:
     json: bool = False
     #: Epoch seconds that datetime() reads; the session's clock if not given.
     now: int | None = None
+    #: Rows at most of a search level or of a product of unconnected patterns; None: no bound.
+    budget: int | None = None
     #: What is done with an edge table (kind, table) when a query reads it, such as saving a derived one.
     keep: Callable[[str, DataFrame], DataFrame] | None = None
     _types: dict[str, DataType] = field(default_factory=dict)

@@ -3,6 +3,10 @@
 Distances are found forward from the smaller end; paths are then read
 backward along edges whose distances differ by one, so no path needs a check
 for repeats.  Levels are checkpointed: a plan never holds more than one.
+
+A state is kept for each root and node, and roots that have met all ends drop
+out.  For the least length overall all roots search as one, so there is a
+state for each node alone, unless an end is a start too.
 """
 
 from __future__ import annotations
@@ -11,18 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .trails import oriented
+from .trails import oriented, within_budget
 
 MOST_HOPS = 127
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, direction: str, high: int, mode: str) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, direction: str, high: int, mode: str, budget: int | None = None) -> DataFrame:
     """``t_start, t_end, t_edges, t_nodes`` of shortest paths of at most ``high`` edges.
 
     ``mode``: 'one' path for each connected pair (the least by edge ids from
     its end), all of each 'pair', or those of the 'overall' least length.
     ``starts`` and ``ends`` have the one column ``id``; pairs of a node with
-    itself are left out.  Parallel edges give paths of their own.
+    itself are left out.  Parallel edges give paths of their own.  With a
+    ``budget`` a level of more states is refused.
     """
     high = min(high, MOST_HOPS)
     starts, ends = settled(starts.distinct()), settled(ends.distinct())
@@ -32,22 +37,30 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, directi
     walked = oriented(edges, {"out": "in", "in": "out"}.get(direction, direction) if turned else direction)
     goals = goals.select(F.col("id").alias("goal"))
 
-    visited = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist"))
+    both = starts.join(ends, "id").count()
+    as_one = mode == "overall" and both == 0
+    visited = roots.select((F.lit(0).cast("long") if as_one else F.col("id")).alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist"))
     frontier = visited
-    wanted = n_starts * n_ends - starts.join(ends, "id").count()
-    found = 0
+    apart = (F.col("node") == F.col("goal")) & (F.lit(as_one) | (F.col("root") != F.col("goal")))
+    n_goals = n_starts if turned else n_ends
+    wanted = n_goals if as_one else n_starts * n_ends - both
+    found, met = 0, None
     for hop in range(1, high + 1):
         reached = frontier.join(walked, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
         frontier = settled(reached.join(visited, ["root", "node"], "left_anti").withColumn("dist", F.lit(hop)))
-        hits = frontier.join(goals, (F.col("node") == F.col("goal")) & (F.col("root") != F.col("goal")), "left_semi").count()
-        if hits == 0 and frontier.isEmpty():
-            break
+        within_budget(frontier, budget)
+        hits = frontier.join(goals, apart, "left_semi").groupBy("root").agg(F.count("*").alias("n"))
+        met = settled(hits if met is None else met.union(hits).groupBy("root").agg(F.sum("n").alias("n")))
+        now = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         visited = visited.union(frontier)
-        found += hits
-        if found >= wanted or mode == "overall" and hits:
+        if now >= wanted or mode == "overall" and now or now == found and frontier.isEmpty():
             break
+        found = now
+        if not as_one and found:
+            # A root that is an end itself has one end less to meet; it goes on, at worst without need.
+            frontier = frontier.join(met.where(F.col("n") >= n_goals).select("root"), "root", "left_anti")
 
-    pairs = visited.join(goals, (F.col("node") == F.col("goal")) & (F.col("root") != F.col("goal")), "left_semi")
+    pairs = visited.join(goals, apart, "left_semi")
     if mode == "overall":
         pairs = _least(pairs)
     rows = settled(
@@ -73,8 +86,9 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, directi
         rows = rows.where("dist > 0")
     out = rows.where(F.lit(False)) if out is None else out
     flip = F.reverse if turned else (lambda c: F.col(c))
-    first, last = ("end", "root") if turned else ("root", "end")
-    return out.select(F.col(first).alias("t_start"), F.col(last).alias("t_end"), flip("path_edges").alias("t_edges"), flip("path_nodes").alias("t_nodes"))
+    root = F.element_at("path_nodes", 1)
+    first, last = (F.col("end"), root) if turned else (root, F.col("end"))
+    return out.select(first.alias("t_start"), last.alias("t_end"), flip("path_edges").alias("t_edges"), flip("path_nodes").alias("t_nodes"))
 
 
 def _least(pairs: DataFrame) -> DataFrame:

@@ -187,6 +187,7 @@ class Compiler:
         frame = Frame(frame.df, dict(frame.symbols))
         if not bound:
             df, symbol = self.scan(nodes[start], names[start], parts, used)
+            self.guard_product(frame, df, names[start], parts)
             frame.df = df if frame.df is None else frame.df.crossJoin(df)
             frame.symbols[names[start]] = symbol
         else:
@@ -241,7 +242,13 @@ class Compiler:
                 raise refuse("properties of a variable-length edge")
             seeds = frame.df.select(frame.symbols[here].col("id").alias("id")).distinct()
             stem = self.fresh("t")
-            df = trails(self.graph.edges(edge.kinds), seeds, direction, *edge.hops)
+            ends, far_nodes = None, None
+            if known is not None:
+                ends = frame.df.select(known.col("id").alias("id"))
+            elif self.far_matters(far, parts, used):
+                far_nodes = self.scan(far, there, parts, used)
+                ends = far_nodes[0].select(far_nodes[1].col("id").alias("id"))
+            df = trails(self.graph.edges(edge.kinds), seeds, direction, *edge.hops, ends=ends, budget=self.graph.budget)
             near, end = f"{stem}_start", f"{stem}_end"
             turn = (lambda c: F.col(c)) if forward else F.reverse
             df = df.select(F.col("t_start").alias(near), F.col("t_end").alias(end), turn("t_edges").alias(f"{stem}_edges"), turn("t_nodes").alias(f"{stem}_nodes"))
@@ -253,9 +260,9 @@ class Compiler:
             out = Frame(joined, symbols)
             return self.narrowed(out, there, far)
         joined = frame.df.join(df, condition)
-        conditions = any(i not in used and far.name and names_in(p) == {far.name} for i, p in enumerate(parts))
-        if far.kinds or conditions or self.props_of(far.name, {k for k, _ in far.props}) or far.name in self.kind_names:
-            nodes, node_symbol = self.scan(far, there, parts, used)
+        far_nodes = far_nodes if edge.hops is not None else self.scan(far, there, parts, used) if self.far_matters(far, parts, used) else None
+        if far_nodes is not None:
+            nodes, node_symbol = far_nodes
             symbols[there] = node_symbol
             return Frame(joined.join(nodes, F.col(end) == node_symbol.col("id")), symbols)
         # Edges end at existing nodes: the far table adds nothing but its id.
@@ -263,6 +270,17 @@ class Compiler:
         symbols[there] = Symbol("node", {"id": f"{stem}_id"})
         return Frame(joined.withColumn(f"{stem}_id", F.col(end)), symbols)
 
+    def guard_product(self, frame: Frame, df: DataFrame, name: str, parts: list) -> None:
+        """With a budget, refuse a product of unconnected patterns that is larger; an equality makes it a join."""
+        joined = any(isinstance(p, A.Binary) and p.op == "=" and name in names_in(p) and names_in(p) & set(frame.symbols) for p in parts)
+        if self.graph.budget is not None and frame.df is not None and not joined and frame.df.count() * df.count() > self.graph.budget:
+            raise refuse(f"a product of more than {self.graph.budget} rows", "budget")
+
+    def far_matters(self, far: A.NodePattern, parts: list, used: set[int]) -> bool:
+        """Whether the far node of a step adds more than its id."""
+        conditions = any(i not in used and far.name and names_in(p) == {far.name} for i, p in enumerate(parts))
+        return bool(far.kinds or conditions or self.props_of(far.name, {k for k, _ in far.props}) or far.name in self.kind_names)
+
     def unlike(self, frame: Frame, earlier: list, edge: A.EdgePattern, name: str) -> Frame:
         """No edge twice in a pattern; two variable-length parts may share edges."""
         symbol = frame.symbols[name]
@@ -314,7 +332,7 @@ class Compiler:
         apart = any(isinstance(p, A.Binary) and p.op == "<>" and names_in(p) == set(names) for p in parts)
         if self.strict and not apart and not ids[0].join(ids[1], "id").isEmpty():
             raise refuse("both ends may be one node", "self_endpoint")
-        found = shortest_paths(self.graph.edges(edge.kinds), ids[0], ids[1], edge.direction, edge.hops[1], mode)
+        found = shortest_paths(self.graph.edges(edge.kinds), ids[0], ids[1], edge.direction, edge.hops[1], mode, self.graph.budget)
         stem = self.fresh("t")
         found = found.select(*(F.col(f"t_{c}").alias(f"{stem}_{c}") for c in ("start", "end", "edges", "nodes")))
         df = frame.df
