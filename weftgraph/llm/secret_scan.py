@@ -6,9 +6,11 @@ character-class embedding, one convolution, maximum over places, a logistic
 output.  It sees ``INSIDE`` characters at a time: a longer candidate is read in
 overlapping pieces, and its score is the largest of theirs.  It is trained on
 the driver on a bounded sample of labelled pieces: those that hold (a part of)
-a base finding against those that no finding touches.  A held-out
-part calibrates the score (Platt) and sets the threshold, the highest at which
-the required share of its findings is still found.  Candidates over it that
+a base finding against those that no finding touches.  Each is also shown
+without its surroundings, so that what a secret looks like is learnt apart from
+the words that announce it, and secrets announced otherwise are found.  A
+held-out part calibrates the score (Platt) and sets the threshold, the highest
+at which the required share of its findings is still found.  Candidates over it that
 no base finding touches are added as findings of kind ``model``.
 """
 
@@ -124,6 +126,9 @@ class Network:
     shift: float
     platt: tuple[float, float] = (1.0, 0.0)
     threshold: float = 1.0
+    #: Shares of the held-out findings that are found, and of the other held-out pieces that are found too.
+    recall: float = 0.0
+    false_alarms: float = 0.0
 
     def _columns(self, codes: np.ndarray) -> np.ndarray:
         seen = self.embed[codes]
@@ -139,7 +144,7 @@ class Network:
 
 
 def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps: int = 1_500, seed: int = 7) -> Network:
-    """Fit by Adam on three quarters, calibrate and set the threshold on the rest.
+    """Fit by Adam on three quarters, with and without surroundings, calibrate and set the threshold on the rest.
 
     The threshold is the highest that keeps the recall, however low that is.
     """
@@ -149,6 +154,9 @@ def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps:
     # Every fourth of each kind is held out.
     held = np.concatenate([order[labels[order] == k][::4] for k in (0, 1)])
     fit = np.setdiff1d(order, held)
+    bare = codes[fit].copy()
+    bare[:, :BEFORE] = bare[:, BEFORE + INSIDE :] = 0
+    codes, labels, fit = np.concatenate([codes, bare]), np.concatenate([labels, labels[fit]]), np.concatenate([fit, len(codes) + np.arange(len(fit))])
     state = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in ("embed", "kernel", "bias", "out")}
     step = 0
     while step < steps:
@@ -181,6 +189,8 @@ def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, steps:
     net.platt = (max(a, 1e-3), b)
     found = np.sort(net.probabilities(codes[held][y == 1]))
     net.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 1.0
+    over = net.probabilities(codes[held]) >= net.threshold
+    net.recall, net.false_alarms = float(over[y == 1].mean()) if len(found) else 0.0, float(over[y == 0].mean()) if (y == 0).any() else 0.0
     return net
 
 
@@ -235,7 +245,7 @@ def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of each label.
     """
     share = min(1.0, sample_docs / max(1, docs.count()))
-    sampled = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < int(share * 1_000_000)
+    sampled = F.xxhash64(F.col(id_col), F.col(text_col)) <= F.lit(share * 2.0**64 - 2.0**63)
     texts = docs.select(sampled.alias("sampled"), F.col(text_col).cast("string").alias("text"))
     labelled = Scratch(docs.sparkSession, "secret-sample").keep(texts.mapInArrow(_labelled(sample_each), "label boolean, key long, codes binary"), "labelled").distinct()
     # The keys up to which each label has enough pieces, to a step of the histogram.
@@ -293,7 +303,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Find secrets in every whole text.
 
     Returns one row per input row: ``row`` (a struct of ``keep_cols``, or of
-    the id), ``text`` and ``spans``, the findings (kind, start, end; code
+    the id), ``text``, ``modelled`` (whether a network took part) and
+    ``spans``, the findings (kind, start, end; code
     points, end exclusive) by start, then kind: ``assign``, ``access`` and
     ``hex`` by pattern, ``model`` by the network alone.  Findings of different
     patterns may overlap.  ``network`` is used if given, else one is fitted;
@@ -307,6 +318,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         network = fit_network(docs, id_col, text_col, **bounds)
     carried = F.struct(*(F.col(f"`{c}`") for c in (keep_cols or [id_col]))).alias("row")
     rows = docs.select(carried, F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("modelled", F.lit(network is not None))
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([*rows.schema.fields, StructField("spans", ArrayType(span))])
     return rows.mapInArrow(_scanned(docs.sparkSession.sparkContext.broadcast(network)), schema)
