@@ -318,3 +318,16 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = found.mapInArrow(_removed(not digest), schema)
     kept = F.col("kept").cast("string").alias("kept_sha256" if digest else "kept_text")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", kept, "spans")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+k AS (SELECT doc_id, i, sha256(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM p),
+m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN m USING (h)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d WHERE len(ws) > 0),
+t AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.j) FILTER (g.j IS NULL) AS kept, count(g.j) AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.j = g.j GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, warc
+from . import decontaminate, ngram_join, phrase_dedup, quality_rules, warc
 from .decontaminate import benchmark_hits
 from .html_density import extract_main_text
 from .language_id import identify_language
@@ -107,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_substring_dedup": phrase_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
 }
