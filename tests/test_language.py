@@ -268,3 +268,13 @@ def test_pruned_trails_are_all_trails(spark, seed):
         least = min(n for *_, n in want)
         got = graph.query("MATCH p = allShortestPaths((a:S)-[:R*1..]->(b:T)) RETURN id(a) AS a, id(b) AS b, length(p) AS n", shortest="overall").collect()
         assert sorted(map(tuple, got)) == [x for x in want if x[2] == least]
+
+
+def test_paths_are_returned_whole(graph, commerce):
+    got = graph.query("MATCH p = (a)-[:R*0..2]->(b) WHERE id(a) = 1 RETURN p, length(p) AS d ORDER BY d").collect()
+    assert [[n.id for n in r.p.nodes] for r in got] == [[1], [1, 2], [1, 2, 3]] and [[e.id for e in r.p.edges] for r in got] == [[], [10], [10, 11]]
+    last = got[-1].p
+    assert [n.kinds for n in last.nodes] == [["A"], ["A", "B"], ["B"]] and last.nodes[0].props["s"] in ("x", '"x"') and [(e.src, e.dst, e.kind) for e in last.edges] == [(1, 2, "R"), (2, 3, "R")]
+    assert graph.query("MATCH p = (a)-[:S]->(b) WHERE id(a) = 1 AND id(b) = 3 RETURN p").first().p.edges[0].props["w"] == "2"
+    row = commerce.query("MATCH p = shortestPath((c:Customer)-[*1..3]->(r:Region)) WHERE id(c) = 3000000000003 RETURN p LIMIT 1").first().p
+    assert [n.kinds[0] for n in row.nodes] == ["Customer", "Nation", "Region"] and row.nodes[0].props.name.startswith("Customer") and [e.kind for e in row.edges] == ["IN_NATION", "IN_REGION"]

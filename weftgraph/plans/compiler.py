@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import refuse
 from ..functions.expr import AGGREGATES, Expressions, entity_struct
 from ..functions.props import Prop
+from ..operators.hydrate import whole_paths
 from ..operators.shortest import shortest_paths
 from ..operators.trails import trails
 from . import ast as A
@@ -618,7 +619,9 @@ class Compiler:
             # A sort key that is returned under another name is found by its column.
             clause = A.Project(clause.items, False, True, tuple((self.returned(v, items, titles), up) for v, up in clause.order), clause.skip, clause.limit, None, True)
         df = self.cut(Frame(df, symbols), df, clause)
-        return df.select(*((Prop(F.col(s), None).output() if v.prop and v.prop.json else F.col(s)).alias(n) for s, n, v in outputs))
+        out = df.select(*((Prop(F.col(s), None).output() if v.prop and v.prop.json else F.col(s)).alias(n) for s, n, v in outputs))
+        paths = [n for _, n, v in outputs if v.type == "path"]
+        return whole_paths(self.graph, out, paths, bool(clause.order)) if paths else out
 
     @staticmethod
     def returned(value, items: list[A.Item], titles: list[str]):
