@@ -17,7 +17,7 @@ from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.queries import table, vocabulary
 from weftgraph.llm.secret_scan import scan_secrets
-from weftgraph.llm.storage import Scratch
+from weftgraph.llm.storage import Scratch, marked_by
 
 #: What stands in a text where a secret was.
 MASK = "[secret]"
@@ -38,12 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = ngram_jaccard_join(docs, size=5, percent=80).where("doc_id is not null")
     marks = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
     marks = scratch.keep(marks.where("gone or n > 1").select("doc_id", "gone"), "marks")
-    single = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Only documents that may be marked are shuffled.
+    looked = marked_by(docs, "doc_id", marks, "_marked")
+    unmarked = looked.where("not _marked").select(*docs.columns)
+    single = looked.where("_marked").join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     kept_again = marks.where("not gone").select("doc_id")
     if kept_again.isEmpty():
-        return single
-    repeated = docs.join(kept_again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated.select(*docs.columns))
+        return unmarked.unionByName(single)
+    repeated = looked.where("_marked").join(kept_again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return unmarked.unionByName(single).unionByName(repeated)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     digest = F.sha2(F.col("text").cast("string"), 256)
     hits = benchmark_hits(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10)
     gone = scratch.keep(hits.where("contaminated").select(F.col("doc_id").alias("_digest")).distinct(), "gone")
-    return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(*docs.columns)
+    looked = marked_by(docs.withColumn("_digest", digest), "_digest", gone, "_marked")
+    clean = looked.where("_marked").join(gone, "_digest", "left_anti").select(*docs.columns)
+    return looked.where("not _marked").select(*docs.columns).unionByName(clean)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,12 +300,20 @@ def test_prefix_bounds_keep_every_similar_pair(seed):
     counts = ngram_join._shared_counts(prefixes)
     assert all(counts[i, j] == len(set(prefixes[i].tolist()) & set(prefixes[j].tolist())) for i in range(len(sets)) for j in range(i))
     group = {}
-    for k, members in enumerate(ngram_join.possible_groups(np.array([len(s) for s in sets]), prefixes, 80)):
+    cut = [(p << np.uint64(50) >> np.uint64(52)).astype(np.uint32) for p in prefixes]  # tokens cut short, in the same order
+    for k, members in enumerate(ngram_join.possible_groups(np.array([len(s) for s in sets]), cut, 80)):
         group |= dict.fromkeys(members, k)
+    lists = [(t, i, len(sets[i]) | (1 << 31 if k < len(sets[i]) + 1 + (-160 * len(sets[i])) // 180 else 0)) for i, p in enumerate(prefixes) for k, t in enumerate(p.tolist())]
+    keys, owners, sizes = (np.array(x, dtype=d) for x, d in zip(zip(*lists, strict=True), (np.uint32, np.int64, np.uint32), strict=True))
+    blocks = {}
+    for block, member in zip(*map(np.ndarray.tolist, ngram_join._partnered(keys, owners, sizes, 80)), strict=True):
+        blocks.setdefault(block, set()).add(member)
+    assert any(len(b) < len(sets) for b in blocks.values())
     for i in range(len(sets)):
         for j in range(i):
             if similar(frozenset(sets[i].tolist()), frozenset(sets[j].tolist())):
                 assert group[i] == group[j]
+                assert any({i, j} <= b for b in blocks.values())
 
 
 def test_word_hashes_follow_words_alone():
@@ -336,3 +344,36 @@ def test_automata_find_what_hashes_do_not_mark(spark):
     hashes = list(textkeys.hashed_texts([rows[0].encode(), rows[1].encode()]))
     runs = phrase_dedup._witnesses([textkeys.long_windows(h, 35) for h in hashes], [1, 1], 35)
     assert runs == [[(10, 60), (200, 240)], []]
+
+
+def test_language_scores_against_plain_cosines(spark):
+    """Every prediction is the nearest centroid by cosines computed term by term."""
+    import math
+
+    from weftgraph.llm import language_id
+
+    words = {"en": "the and of to in that is".split(), "de": "der die und das ist nicht".split()}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(2, 20))), lang) for i in range(120) for lang in [rng.choice(list(words))]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(table.where(~language_id.held_out("doc_id")))
+    got = {r.doc_id: r for r in identify_language(table, model).collect()}
+    centroids = model.centroids.T.tolist()
+    for i, text, _ in rows:
+        dims, counts = language_id.gram_counts(text)
+        vector = {d: math.log1p(c) * float(model.weights[d]) for d, c in zip(dims.tolist(), counts.tolist(), strict=True)}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * c[d] for d, v in vector.items()) / norm for c in centroids]
+        best = max(cosines)
+        assert abs(got[i].score - best) < 1e-4
+        assert got[i].lang_pred in {model.languages[k] for k, c in enumerate(cosines) if best - c < 1e-4}
+        assert got[i].rejected == (best < min(model.least[k] for k, c in enumerate(cosines) if best - c < 1e-4)) or abs(best - min(model.least)) < 1e-4
+
+
+def test_the_sample_takes_distinct_texts_of_every_language(spark):
+    """A text that is repeated very often doesn't crowd out another language."""
+    from weftgraph.llm import language_id
+
+    rows = [("the same english text again", "en")] * 3000 + [(f"eins zwei drei vier nummer {i}", "de") for i in range(40)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "text string, lang string"), sample_each=20, sample_all=40)
+    assert set(model.languages) == {"en", "de"} and model.languages.count("en") == 1 and model.languages.count("de") > 1

@@ -7,8 +7,10 @@ have a shingle in common among the first n - ceil(p n / 100) + 1 of each, the
 prefix.  The order here is by hash, with the shingles that tasks meet most
 often among all documents moved to the end.
 
-All sets whose prefixes hold a shingle belong to the block named by the least
-set of that shingle's list, so every similar pair meets in a block.  Prefixes
+Of a similar pair, the smaller set has one of the shared shingles even within
+its first n - ceil(2 p n / (100 + p)) + 1.  A shingle's list keeps the sets that
+have a partner in it by these places and by set size; they belong to the block
+named by the least of them, so every similar pair meets in a block.  Prefixes
 alone then tell most strangers apart: up to the end of the shorter prefix it
 is known how many shingles a pair shares and how many each has left, which
 bounds the overlap.  Blocks fall into the groups that this bound leaves
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Scratch, filter_bits, shuffle_partitions
+from .storage import Scratch, may_match, shuffle_partitions
 from .textkeys import EMPTY, least_overlap, shingle_set, shingle_sets
 from .tsearch import block_links
 
@@ -44,8 +46,6 @@ BLOCK = 512
 FREQUENT = 1 << 16
 #: A shingle met fewer times, by tasks that hold it twice, is never called frequent.
 SELDOM = 32
-#: Bits of the broadcast filter of documents whose texts are needed (2 MB, whatever the input).
-FILTER_BITS = 1 << 24
 #: Shingle postings that one bucket is meant to hold.
 BUCKET = 500_000
 #: Prefix tokens that a task gathers before it looks for repeated ones.
@@ -136,14 +136,51 @@ def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
     return rows
 
 
-def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All prefix tokens of a batch and the set of each."""
+#: Marks a posting whose place makes its set the smaller one of a pair, beside the set's size.
+_EARLY = np.uint32(1 << 31)
+
+
+def _prefixes(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All prefix tokens of a batch, the set of each, and its size with the mark of early places."""
     parts = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
-    owners = np.repeat(np.asarray(batch.column("vertex").to_pylist(), dtype=np.int64), [len(p) for p in parts])
-    return (np.concatenate(parts) if parts else EMPTY), owners
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    n = np.minimum(batch.column("n").to_numpy(zero_copy_only=False), (1 << 31) - 1)
+    owners = np.repeat(batch.column("vertex").to_numpy(zero_copy_only=False), lengths)
+    sizes = np.repeat(n.astype(np.uint32), lengths)
+    place = np.arange(len(owners)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sizes[place < np.repeat(n + 1 + (-2 * percent * n) // (100 + percent), lengths)] |= _EARLY
+    return (np.concatenate(parts) if parts else EMPTY), owners, sizes
 
 
-def _dealt(buckets: int):
+def _partnered(keys: np.ndarray, members: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, member) of the sets that have a partner in their token's list; a block is named by its least member.
+
+    A partner pair is an early posting and another one of a set as large or
+    larger, as far as the similarity allows.
+    """
+    n, early = (sizes & ~_EARLY).astype(np.int64), sizes >= _EARLY
+    order = np.lexsort((~early, n, keys))
+    keys, members, n, early = keys[order], members[order], n[order], early[order]
+    if not len(keys):
+        return members, members
+    follows = keys[1:] == keys[:-1]
+    # The last early posting before each one.
+    at = np.where(early, np.arange(len(keys)), -1)
+    before = np.r_[-1, np.maximum.accumulate(at)[:-1]]
+    had = (before >= 0) & (keys[before] == keys) & (100 * n[before] >= percent * n)
+    has = np.r_[early[:-1] & follows & (100 * n[:-1] >= percent * n[1:]), False]
+    keys, members = keys[had | has], members[had | has]
+    order = np.lexsort((members, keys))
+    keys, members = keys[order], members[order]
+    head = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, dtype=bool)
+    block = members[head][np.cumsum(head) - 1]
+    order = np.lexsort((members, block))
+    block, members = block[order], members[order]
+    new = np.r_[True, (block[1:] != block[:-1]) | (members[1:] != members[:-1])] if len(block) else head
+    return block[new], members[new]
+
+
+def _dealt(buckets: int, percent: int):
     """Prefixes to one blob of (token, set) postings for each batch and bucket, without frequent tokens.
 
     A bucket's tokens are told apart by 32 bits more; a rare mistake only puts
@@ -153,16 +190,16 @@ def _dealt(buckets: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owners = _prefixes(batch)
+            tokens, owners, sizes = _prefixes(batch, percent)
             rare = tokens < _OFTEN
-            tokens, owners = tokens[rare], owners[rare]
+            tokens, owners, sizes = tokens[rare], owners[rare], sizes[rare]
             if not len(tokens):
                 continue
             base = int(owners.min())
             near = int(owners.max()) - base < 1 << 32
             bucket = ((tokens >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            owners, bucket = owners[order], bucket[order]
+            owners, bucket, sizes = owners[order], bucket[order], sizes[order]
             fragments = (tokens[order] >> np.uint64(31)).astype(np.uint32)
             if near:
                 owners = (owners - base).astype(np.uint32)
@@ -170,55 +207,52 @@ def _dealt(buckets: int):
             ids = np.flatnonzero(np.diff(cuts)).tolist()
             keys = [fragments[cuts[b] : cuts[b + 1]].tobytes() for b in ids]
             members = [owners[cuts[b] : cuts[b + 1]].tobytes() for b in ids]
-            columns = [pa.array(ids, pa.int64()), pa.array([base if near else None] * len(ids), pa.int64()), pa.array(keys, pa.binary()), pa.array(members, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "base", "tokens", "vertices"])
+            widths = [sizes[cuts[b] : cuts[b + 1]].tobytes() for b in ids]
+            columns = [pa.array(ids, pa.int64()), pa.array([base if near else None] * len(ids), pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, members, widths))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "base", "tokens", "vertices", "sizes"])
 
     return rows
 
 
-def _often_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _often_held(percent: int):
     """(token, member) of the frequent tokens in prefixes."""
-    for batch in batches:
-        tokens, owners = _prefixes(batch)
-        often = tokens >= _OFTEN
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[often])), pa.array(owners[often])], names=["token", "member"])
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by bucket to distinct (block, member); lists of one are dropped."""
-
-    def found(tokens: list[bytes], vertices: list[np.ndarray]) -> pa.RecordBatch | None:
-        members = np.concatenate(vertices)
-        keys = np.concatenate([np.frombuffer(t, dtype=np.uint32) for t in tokens])
-        order = np.lexsort((members, keys))
-        keys, members = keys[order], members[order]
-        again = keys[1:] == keys[:-1]
-        if not again.any():
-            return None
-        shared = np.r_[again, False] | np.r_[False, again]
-        keys, members = keys[shared], members[shared]
-        head = np.r_[True, keys[1:] != keys[:-1]]
-        block = members[head][np.cumsum(head) - 1]
-        order = np.lexsort((members, block))
-        block, members = block[order], members[order]
-        new = np.r_[True, (block[1:] != block[:-1]) | (members[1:] != members[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(members[new])], names=["block", "member"])
-
-    now, tokens, vertices = None, [], []
-    for batch in batches:
-        for bucket, base, t, v in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "tokens", "vertices")), strict=True):
-            if bucket != now:
-                if now is not None and (out := found(tokens, vertices)) is not None:
-                    yield out
-                now, tokens, vertices = bucket, [], []
-            tokens.append(t)
-            vertices.append(np.frombuffer(v, dtype=np.int64) if base is None else np.frombuffer(v, dtype=np.uint32).astype(np.int64) + base)
-    if now is not None and (out := found(tokens, vertices)) is not None:
-        yield out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, owners, _ = _prefixes(batch, percent)
+            often = tokens >= _OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens[often])), pa.array(owners[often])], names=["token", "member"])
+
+    return rows
+
+
+def _members(percent: int):
+    """Blobs sorted by bucket to distinct (block, member)."""
+
+    def found(held: list[tuple]) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(t, dtype=np.uint32) for _, t, _, _ in held])
+        members = np.concatenate([np.frombuffer(v, dtype=np.int64) if base is None else np.frombuffer(v, dtype=np.uint32).astype(np.int64) + base for base, _, v, _ in held])
+        sizes = np.concatenate([np.frombuffer(w, dtype=np.uint32) for *_, w in held])
+        block, member = _partnered(keys, members, sizes, percent)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(member)], names=["block", "member"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, *posting in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "tokens", "vertices", "sizes")), strict=True):
+                if bucket != now:
+                    if held:
+                        yield found(held)
+                    now, held = bucket, []
+                held.append(tuple(posting))
+        if held:
+            yield found(held)
+
+    return rows
 
 
 def _shared_counts(prefixes: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each two prefixes share."""
+    """How many tokens each two prefixes share; no fewer where tokens cut short are alike within a prefix."""
     m = len(prefixes)
     owners = np.repeat(np.arange(m), [len(p) for p in prefixes])
     tokens = np.concatenate(prefixes)
@@ -239,7 +273,7 @@ def _shared_counts(prefixes: list[np.ndarray]) -> np.ndarray:
         part = long[at : at + 1024]
         held = np.zeros((m, len(part)), dtype=np.float32)
         for column, k in enumerate(part.tolist()):
-            held[owners[starts[k] : starts[k] + lengths[k]], column] = 1
+            np.add.at(held[:, column], owners[starts[k] : starts[k] + lengths[k]], 1)
         counts += (held @ held.T).astype(np.int64)
     return counts
 
@@ -253,9 +287,9 @@ def possible_groups(sizes: np.ndarray, prefixes: list[np.ndarray], percent: int)
     """
     m = len(sizes)
     shared = _shared_counts(prefixes)
-    last = np.array([p[-1] for p in prefixes], dtype=np.uint64)
-    # up_to[i, j]: tokens of i's prefix up to the end of j's.
-    up_to = np.stack([np.searchsorted(p, last, side="right") for p in prefixes])
+    last = np.array([p[-1] for p in prefixes], dtype=prefixes[0].dtype)
+    # up_to[i, j]: tokens of i's prefix before the end of j's.  Tokens may be cut short: those at the very end are left open.
+    up_to = np.stack([np.searchsorted(p, last, side="left") for p in prefixes])
     left = sizes[:, None] - up_to
     need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
     able = (shared > 0) & (shared + np.minimum(left, left.T) >= need)
@@ -279,7 +313,7 @@ def _possible(percent: int):
 
     def groups(held: list[tuple]) -> Iterator[tuple[int, list[int]]]:
         vertices, n, blobs = zip(*held, strict=True)
-        prefixes = [np.frombuffer(b, dtype=np.uint64) for b in blobs]
+        prefixes = [np.frombuffer(b, dtype=np.uint32) for b in blobs]
         for group in possible_groups(np.array(n, dtype=np.int64), prefixes, percent):
             members = sorted(vertices[i] for i in group)
             yield xxhash.xxh3_64_intdigest(np.array(members, dtype=np.int64).tobytes()) - (1 << 63), members
@@ -315,15 +349,11 @@ def _possible(percent: int):
     return rows
 
 
-def _in_filter(bits: np.ndarray):
-    """Only rows whose key's bit is set."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("key").to_numpy(zero_copy_only=False) % FILTER_BITS
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-
-    return rows
+def _short_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes with the upper half of each token, which keeps their order."""
+    for batch in batches:
+        short = [(np.frombuffer(p, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for p in batch.column("prefix").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("n"), pa.array(short, pa.binary())], names=["vertex", "n", "prefix"])
 
 
 def _of_set(size: int):
@@ -481,12 +511,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 def _needed_texts(texts: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """(vertex, text) of the wanted (id, vertex, h1, h2); a row that is repeated may come once for each task."""
-    key = F.xxhash64("id").alias("key")
-    place = F.pmod(key, F.lit(FILTER_BITS))
-    places = wanted.select(F.shiftright(place, 3).alias("place"), F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int")).alias("byte"))
-    bits = filter_bits(places, FILTER_BITS)
-    keyed = texts.where("id is not null").select("id", key, "text")
-    held = keyed.mapInArrow(_in_filter(bits), keyed.schema).drop("key")
+    held = may_match(texts.where("id is not null"), "id", wanted)
     return scratch.keep(held.join(wanted, "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary"), "texts")
 
 
@@ -520,10 +545,11 @@ def ngram_jaccard_join(
 
     postings = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(parts, int(postings // BUCKET))
-    dealt = sets.select("vertex", "prefix").mapInArrow(_dealt(buckets), "bucket long, base long, tokens binary, vertices binary")
-    members = _sorted_by(dealt, buckets, "bucket").mapInArrow(_members, "block long, member long")
+    prefixes = sets.select("vertex", "n", "prefix")
+    dealt = prefixes.mapInArrow(_dealt(buckets, percent), "bucket long, base long, tokens binary, vertices binary, sizes binary")
+    members = _sorted_by(dealt, buckets, "bucket").mapInArrow(_members(percent), "block long, member long")
     if len(frequent):
-        often = scratch.keep(sets.select("vertex", "prefix").mapInArrow(_often_held, "token long, member long"), "often")
+        often = scratch.keep(prefixes.mapInArrow(_often_held(percent), "token long, member long"), "often")
         named = often.groupBy("token").agg(F.min("member").alias("block"), F.count("*").alias("n")).where("n > 1")
         # At most FREQUENT rows.
         members = members.union(often.join(F.broadcast(named), "token").select("block", "member"))
@@ -535,7 +561,8 @@ def ngram_jaccard_join(
         cut = scratch.keep(_cut(members.join(large, "block", "left_semi"), sets, percent), "cut")
         members = members.join(large, "block", "left_anti").unionByName(cut.where(F.col("size") <= BLOCK).select("block", "member"))
 
-    small = members.withColumnRenamed("member", "vertex").join(sets.select("vertex", "n", "prefix"), "vertex").select("block", "vertex", "n", "prefix")
+    short = prefixes.mapInArrow(_short_tokens, "vertex long, n long, prefix binary")
+    small = members.withColumnRenamed("member", "vertex").join(short, "vertex").select("block", "vertex", "n", "prefix")
     possible = _sorted_by(small, max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
     members = scratch.keep(possible.unionByName(cut.where(F.col("size") > BLOCK)) if split else possible, "possible")
     scratch.drop("members", "large", "cut")
