@@ -10,11 +10,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .builder import end_ids, end_kinds, node_ids, node_kinds, node_property, rel_kinds, start_ids, start_kinds
+from .builder import end_ids, end_kinds, node_ids, node_kinds, node_property, rel_kinds, rel_property, start_ids, start_kinds
 from .model import Graph
 from .sources.documents import free_graph
 from .sources import relational
 from .sources.scratch import shared_folder
+from .sources.snapshot import load_graph, save_graph
 from .streaming import changelog as C
 
 
@@ -172,6 +173,22 @@ QUERIES: dict[str, Named] = {
     "union_all": Named("MATCH (r:Region) RETURN r.name AS name UNION ALL MATCH (n:Nation) RETURN n.name AS name", "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation"),
     "unwind_list": Named("UNWIND ['BUILDING', 'MACHINERY'] AS seg MATCH (c:Customer) WHERE c.mktsegment = seg RETURN seg AS seg, count(c) AS n",
         "SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1"),
+    "equals_null": Named("MATCH (c:Customer) WHERE c.name = null OR c.acctbal > 9500.5 RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9500.5"),
+    "list_equality": Named("MATCH (c:Customer) WHERE labels(c) = ['Customer', 'VIP'] RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9000"),
+    "literal_in_list": Named("MATCH (c:Customer) WHERE 'VIP' IN labels(c) RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9000"),
+    "size_of_list": Named("MATCH (c:Customer) WHERE size(labels(c)) = 2 RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 9000"),
+    "order_of_texts": Named("MATCH (p:Part) WHERE p.brand < p.name RETURN count(p) AS n", "SELECT count(*) AS n FROM part WHERE p_brand < p_name"),
+    "quotient_and_rest": Named("MATCH (p:Part) WHERE p.retailprice / 2.0 > 600 AND p.size % 5 = 0 AND p.size * -1 < -10 RETURN count(p) AS n",
+        "SELECT count(*) AS n FROM part WHERE p_retailprice / 2.0 > 600 AND p_size % 5 = 0 AND -p_size < -10"),
+    "branching_tree": Named("MATCH (c:VIP)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r), (s:Supplier)-[:IN_NATION]->(n), (c)-[:PLACED]->(o) WHERE o.status = 'F' RETURN r.name AS region, count(*) AS n",
+        "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000 AND o_orderstatus = 'F' GROUP BY 1"),
+    "nulls_last": Named("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal > 2000.5 RETURN n.name AS name, s.acctbal AS b ORDER BY b DESC, name SKIP 2 LIMIT 20",
+        "SELECT n_name AS name, s_acctbal AS b FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 2000.5 ORDER BY b DESC NULLS FIRST, name LIMIT 20 OFFSET 2"),
+    "absent_kind": Named("MATCH (n:Nowhere) RETURN count(n) AS n", "SELECT 0::BIGINT AS n"),
+    "limit_of_all": Named("MATCH (n) WITH n LIMIT 7 RETURN count(n) AS n", "SELECT 7::BIGINT AS n"),
+    "exists_anchor": Named("MATCH (p:Part) WHERE (p)<-[:CONTAINS]-(:Order) AND p.size = 7 RETURN count(p) AS n", "SELECT count(*) AS n FROM part WHERE p_size = 7 AND p_partkey IN (SELECT l_partkey FROM lineitem)"),
+    "varlen_to_known_end": Named("MATCH p = (c:Customer)-[:IN_NATION|IN_REGION*1..5]->(r:Region) WHERE id(r) = 1000000000002 RETURN length(p) AS d, count(*) AS n",
+        "SELECT 2::BIGINT AS d, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 HAVING count(*) > 0"),
     "sum_distinct": Named("MATCH (p:Part) WHERE p.size < 30 RETURN p.brand AS brand, sum(DISTINCT p.size) AS s, avg(DISTINCT p.size) AS a, count(DISTINCT p.size) AS n",
         "SELECT p_brand AS brand, sum(DISTINCT p_size)::DOUBLE AS s, avg(DISTINCT p_size) AS a, count(DISTINCT p_size) AS n FROM part WHERE p_size < 30 GROUP BY 1"),
     "sum_avg": Named("MATCH (p:Part) RETURN p.brand AS brand, sum(p.size) AS s, avg(p.size) AS a", "SELECT p_brand AS brand, sum(p_size)::DOUBLE AS s, avg(p_size) AS a FROM part GROUP BY 1"),
@@ -297,6 +314,47 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(live, "nodes").union(count(walked, "edges")).union(count(left, "log"))
 
 
+def _whole_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "MATCH p = (c:VIP)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN p"
+    paths = commerce_graph(spark, sf_dir).query(text)
+    node, edge = (lambda i: F.col("p.nodes")[i]), (lambda i: F.col("p.edges")[i])
+    return paths.select(node(0)["props"]["name"].alias("customer"), node(1)["props"]["name"].alias("nation"), F.element_at(node(2)["kinds"], 1).alias("kind"), edge(1)["id"].alias("edge"))
+
+
+def _saved_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions saved as a graph of their own, loaded by lineage and asked."""
+    whole = commerce_graph(spark, sf_dir)
+    part = Graph(spark, [t for t in whole.node_tables if t.always & {"Nation", "Region"}], {"IN_REGION": whole.edge_tables["IN_REGION"]})
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex[:12]}"
+    lineage = save_graph(part, path, 5)
+    return load_graph(spark, path, lineage).query("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(n) AS n")
+
+
+def _emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after deleting a kind of nodes, a kind of edges, or all nodes."""
+    nodes, edges = _base(spark, sf_dir)
+    graph = commerce_graph(spark, sf_dir)
+    kinds = nodes.select("id", "kinds")
+    logs = {"nodes of a kind": C.delete_nodes_by_kinds(kinds, 1, ["Customer"], ["VIP"]), "edges of a kind": C.delete_edges_by_kinds(edges, 1, ["IN_NATION"]), "all": C.wipe(graph.nodes(("Customer",)).union(graph.nodes(("Nation",))), 1)}
+    out = None
+    for name, log in logs.items():
+        live, walked = C.merged_view(nodes, edges, log)
+        row = live.agg(F.count("*").alias("nodes")).crossJoin(walked.agg(F.count("*").alias("edges"))).select(F.lit(name).alias("deleted"), "nodes", "edges")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in two segments, merged, and one replayed from a sequence on, give what the whole log gives."""
+    nodes, edges = _base(spark, sf_dir)
+    log = _log(nodes, edges)
+    _, whole = C.merged_view(nodes, edges, log)
+    _, merged = C.merged_view(nodes, edges, C.merge_segments(log.where("seq <= 2"), C.after(log, 2)))
+    live, early = C.merged_view(nodes, edges, log.where("seq <= 1"))
+    _, replayed = C.merged_view(live, early, C.after(log, 1))
+    return spark.createDataFrame([(C.differences(whole, merged), C.differences(whole, replayed), whole.count())], "merged long, replayed long, edges long")
+
+
 #: Builder and change-log queries: (function, SQL).
 BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "builder_node_count": (
@@ -331,6 +389,30 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("IN_REGION"), end_kinds("Region")).fetch_step().select("node_id", F.element_at("node_kinds", 1).alias("kind"), "rel_id"),
         "SELECT 1000000000000 + n_regionkey AS node_id, 'Region' AS kind, 100000000000000000 + n_nationkey AS rel_id FROM nation",
     ),
+    "builder_node_page": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_kinds("Part")).order_by("size", False).order_by("id").offset(3).limit(5).fetch_ids(),
+        "SELECT 5000000000000 + p_partkey AS id FROM part ORDER BY p_size DESC, p_partkey LIMIT 5 OFFSET 3",
+    ),
+    "builder_node_fetch": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_kinds("Nation")).fetch().select("entity.id", F.element_at("entity.kinds", 1).alias("kind"), "entity.props.name"),
+        "SELECT 2000000000000 + n_nationkey AS id, 'Nation' AS kind, n_name AS name FROM nation",
+    ),
+    "builder_rel_property": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("CONTAINS"), rel_property("quantity", ">", 49.0), rel_property("lines", "=", 1)).fetch_ends(),
+        "SELECT 6000000000000 + l_orderkey AS src, 5000000000000 + l_partkey AS dst FROM lineitem GROUP BY l_orderkey, l_partkey HAVING sum(l_quantity) > 49 AND count(*) = 1",
+    ),
+    "builder_rel_first": (
+        lambda spark, d: spark.createDataFrame([commerce_graph(spark, d).builder().relationships().filter(rel_kinds("IN_REGION")).order_by("id", False).first().entity[:4]], "id long, src long, dst long, kind string"),
+        "SELECT 100000000000000000 + n_nationkey AS id, 2000000000000 + n_nationkey AS src, 1000000000000 + n_regionkey AS dst, 'IN_REGION' AS kind FROM nation ORDER BY n_nationkey DESC LIMIT 1",
+    ),
+    "builder_rel_ids": (
+        lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("IN_REGION", "IN_NATION"), end_ids(1000000000001)).fetch_ids(),
+        "SELECT 100000000000000000 + n_nationkey AS id FROM nation WHERE n_regionkey = 1",
+    ),
+    "builder_node_kinds": (
+        lambda spark, d: commerce_graph(spark, d).builder().nodes().filter(node_ids(*range(3000000000000, 3000000000050))).fetch_kinds().select("id", F.array_join("kinds", "+").alias("kinds")),
+        "SELECT 3000000000000 + c_custkey AS id, CASE WHEN c_acctbal > 9000 THEN 'Customer+VIP' ELSE 'Customer' END AS kinds FROM customer WHERE c_custkey < 50",
+    ),
     "builder_directed_graph": (
         lambda spark, d: commerce_graph(spark, d).builder().relationships().filter(rel_kinds("SUPPLIED_BY")).fetch_directed_graph(),
         "SELECT DISTINCT 5000000000000 + l_partkey AS src, 4000000000000 + l_suppkey AS dst FROM lineitem",
@@ -343,6 +425,17 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _delta,
         "SELECT kind, count(*) AS n, min(id) AS first FROM (SELECT CASE WHEN c_nationkey = 1 THEN 'LEFT' ELSE 'IN_NATION' END AS kind, 200000000000000000 + c_custkey AS id FROM customer WHERE c_custkey % 10 <> 3) GROUP BY 1",
     ),
+    "paths_whole": (
+        _whole_paths,
+        "SELECT c_name AS customer, n_name AS nation, 'Region' AS kind, 100000000000000000 + n_nationkey AS edge FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9000",
+    ),
+    "snapshot_round_trip": (_saved_and_loaded, "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
+    "delta_deletes_by_kind": (
+        _emptied,
+        "WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal > 9000) AS v FROM customer), x AS (SELECT count(*) AS n FROM nation) "
+        "SELECT 'nodes of a kind' AS deleted, v + x.n AS nodes, v AS edges FROM c, x UNION ALL SELECT 'edges of a kind', c.n + x.n, 0 FROM c, x UNION ALL SELECT 'all', 0, 0",
+    ),
+    "delta_segments_and_replay": (_replayed, "SELECT 0::BIGINT AS merged, 0::BIGINT AS replayed, count(*) AS edges FROM customer WHERE c_custkey % 10 <> 3"),
     "delta_delete_cascade": (
         _cascaded,
         "SELECT c_nationkey::BIGINT AS nation, count(*) AS n, max(200000000000000000 + c_custkey) AS last FROM customer WHERE c_nationkey <> 1 OR c_custkey % 5 = 0 GROUP BY 1",

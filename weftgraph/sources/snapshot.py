@@ -40,7 +40,7 @@ def save_graph(graph: Graph, path: str, sequence: int = 0, lineage: str | None =
     nodes, edges = [], {}
     for i, table in enumerate(graph.node_tables):
         table.df.write.parquet(f"{path}/nodes-{i}")
-        nodes.append({"always": sorted(table.always), "maybe": sorted(table.maybe), "rows": spark.read.parquet(f"{path}/nodes-{i}").count()})
+        nodes.append({"always": sorted(table.always), "maybe": sorted(table.maybe), "base": table.base, "key": table.key, "rows": spark.read.parquet(f"{path}/nodes-{i}").count()})
     for i, (kind, df) in enumerate(graph.edge_tables.items()):
         df.write.parquet(f"{path}/edges-{i}")
         edges[kind] = {"table": f"edges-{i}", "rows": spark.read.parquet(f"{path}/edges-{i}").count()}
@@ -65,7 +65,7 @@ def load_graph(spark: SparkSession, path: str, lineage: str | None = None) -> Gr
     tables = []
     for i, held in enumerate(manifest["nodes"]):
         df = spark.read.parquet(f"{path}/nodes-{i}")
-        tables.append(NodeTable(df, frozenset(held["always"]), frozenset(held["maybe"])))
+        tables.append(NodeTable(df, frozenset(held["always"]), frozenset(held["maybe"]), held.get("base"), held.get("key")))
         _whole(df, held["rows"])
     edges = {}
     for kind, held in manifest["edges"].items():
