@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.bitfilter import marked_by
 from weftgraph.llm.decontaminate import benchmark_hits
 from weftgraph.llm.ngram_join import ngram_jaccard_join
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.queries import table, vocabulary
 from weftgraph.llm.secret_scan import scan_secrets
-from weftgraph.llm.storage import Scratch, marked_by
+from weftgraph.llm.storage import Scratch
 
 #: What stands in a text where a secret was.
 MASK = "[secret]"

@@ -35,9 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitfilter import may_match
 from .components import connected_components
-from .storage import Scratch, may_match, shuffle_partitions
-from .textkeys import EMPTY, least_overlap, shingle_set, shingle_sets
+from .storage import Scratch, shuffle_partitions
+from .textkeys import EMPTY, shingle_set, shingle_sets
 from .tsearch import block_links
 
 #: Members of a block, or of a part of it, that one search holds in memory.

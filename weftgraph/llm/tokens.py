@@ -25,7 +25,7 @@ _PRE_TOKENIZER = {
     "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
 }
 #: Entries of each of a worker's tables of chunks; the older half is forgotten first.
-CACHED = 50_000
+CACHED = 120_000
 
 
 def _byte_letters() -> dict[int, str]:
