@@ -42,6 +42,21 @@ def test_document(spark, tmp_path):
         read_document(spark, str(tmp_path / "bad.json"))
 
 
+def test_every_matcher_of_an_end_must_fit(spark, tmp_path):
+    match = lambda *pairs, op="equals": {"match_by": "property", "property_matchers": [{"key": k, "operator": op, "value": v} for k, v in pairs]}
+    nodes = [{"id": f"n{i}", "kinds": ["A"], "properties": {"x": str(i % 2), "y": str(i // 2)}} for i in range(4)]
+    edges = [{"kind": "R", "start": match(("x", "1"), ("y", "0")), "end": match(("x", "0"))}, {"kind": "S", "start": match(("x", "1"), ("y", "7")), "end": {"value": "n0"}}]
+    (tmp_path / "m.json").write_text(json.dumps({"graph": {"nodes": nodes, "edges": edges}}))
+    held, named = read_document(spark, str(tmp_path / "m.json"))
+    ready, lost = resolve_edges(held, named)
+    key = {r.id: r.key for r in held.collect()}
+    assert sorted((key[r.src], key[r.dst]) for r in ready.collect()) == [("n1", "n0"), ("n1", "n2")] and lost.count() == 1
+    edges[0]["start"] = match(("x", "1"), op="contains")
+    (tmp_path / "m.json").write_text(json.dumps({"graph": {"nodes": nodes, "edges": edges}}))
+    with pytest.raises(UnsupportedQuery):
+        resolve_edges(*read_document(spark, str(tmp_path / "m.json")))
+
+
 def test_snapshot(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(DOCUMENT))
     graph = document_graph(spark, str(tmp_path / "d.json"))

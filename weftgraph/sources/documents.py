@@ -17,7 +17,7 @@ from ..model import Graph, NodeTable
 from .json_props import property_map
 
 #: Kinds that a node of a document may have, besides the source kind.
-MOST_KINDS = 3
+MOST_KINDS = 2
 _END = "struct<match_by:string,value:string,kind:string,property_matchers:array<struct<key:string,operator:string,value:string>>>"
 _DOCUMENT = f"struct<metadata:struct<source_kind:string>,graph:struct<nodes:array<struct<id:string,kinds:array<string>,properties:variant>>,edges:array<struct<kind:string,start:{_END},end:{_END},properties:variant>>>>"
 
@@ -51,9 +51,12 @@ def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     source = F.col("d.metadata.source_kind")
     nodes = parsed.select(source.alias("source"), F.explode("d.graph.nodes").alias("n"))
     nodes = nodes.select(F.col("n.id").alias("key"), F.col("n.kinds").alias("own"), F.when(F.col("source").isNotNull(), F.concat(F.array("source"), "n.kinds")).otherwise(F.col("n.kinds")).alias("kinds"), F.to_json("n.properties").alias("properties"))
-    bad = nodes.where((F.size("own") >= MOST_KINDS) | (F.size("own") < 1))
+    bad = nodes.where((F.size("own") > MOST_KINDS) | (F.size("own") < 1))
     if not bad.isEmpty():
-        raise refuse(f"a node needs 1 to {MOST_KINDS - 1} kinds", "invalid_document")
+        raise refuse(f"a node needs 1 to {MOST_KINDS} kinds", "invalid_document")
+    alike = nodes.groupBy(F.xxhash64("key")).agg(F.count_distinct("key").alias("keys")).where("keys > 1")
+    if not alike.isEmpty():
+        raise refuse("two node ids with one hash", "invalid_document")
     edges = parsed.select(F.explode("d.graph.edges").alias("e")).select(F.col("e.kind").alias("kind"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.to_json("e.properties").alias("properties"))
     return nodes.drop("own").withColumn("id", F.xxhash64("key")), edges
 
@@ -61,8 +64,9 @@ def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with ids of both ends, edges that name no node).
 
-    Every way of naming is an equi-join on (property, value); a name that fits
-    several nodes gives an edge to each.
+    Every way of naming is an equi-join on (property, value); of several
+    matchers of an end all must fit.  A name that fits several nodes gives an
+    edge to each.  Matchers compare by ``equals`` only.
     """
     props = F.from_json("properties", "map<string,string>")
     keys = nodes.select("id", F.lit("id").alias("by"), F.col("key").alias("value"), "kinds")
@@ -71,11 +75,15 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     out = edges.withColumn("row", F.xxhash64(F.to_json(F.struct("kind", "start", "end"))))
     for end in ("start", "end"):
         e = F.col(end)
-        first = F.get(e["property_matchers"], F.lit(0))
-        by = F.when(e["match_by"] == "property", F.concat(F.lit("."), first["key"])).when(e["match_by"] == "name", ".name").otherwise("id")
-        value = F.when(e["match_by"] == "property", first["value"]).otherwise(e["value"])
-        side = out.select("row", by.alias("by"), value.alias("value"), e["kind"].alias("want")).distinct()
-        found = side.join(keys, ["by", "value"]).where(F.col("want").isNull() | F.array_contains("kinds", F.col("want")))
+        other = out.where(F.exists(e["property_matchers"], lambda m: F.coalesce(m["operator"], F.lit("equals")) != "equals"))
+        if not other.isEmpty():
+            raise refuse("a property matcher other than equals", "invalid_document")
+        by_property = F.transform(e["property_matchers"], lambda m: F.struct(F.concat(F.lit("."), m["key"]).alias("by"), m["value"].alias("value")))
+        plain = F.array(F.struct(F.when(e["match_by"] == "name", ".name").otherwise("id").alias("by"), e["value"].alias("value")))
+        names = F.array_distinct(F.when(e["match_by"] == "property", by_property).otherwise(plain))
+        side = out.select("row", e["kind"].alias("want"), F.size(names).alias("wanted"), F.explode(names).alias("m")).distinct()
+        fits = side.select("row", "want", "wanted", "m.by", "m.value").join(keys, ["by", "value"]).where(F.col("want").isNull() | F.array_contains("kinds", F.col("want")))
+        found = fits.groupBy("row", "id").agg(F.count_distinct("by", "value").alias("fit"), F.max("wanted").alias("wanted")).where("fit = wanted")
         out = out.join(found.select("row", F.col("id").alias(f"{end}_id")).distinct(), "row", "left")
     ready = out.where("start_id is not null and end_id is not null")
     ready = ready.select(F.xxhash64("start_id", "end_id", "kind").alias("id"), F.col("start_id").alias("src"), F.col("end_id").alias("dst"), "kind", "properties")
