@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Only documents that may be marked are shuffled.
     looked = marked_by(docs, "doc_id", marks, "_marked")
     unmarked = looked.where("not _marked").select(*docs.columns)
-    single = looked.where("_marked").join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    single = looked.where("_marked").join(marks.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     kept_again = marks.where("not gone").select("doc_id")
     if kept_again.isEmpty():
         return unmarked.unionByName(single)
@@ -57,7 +57,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     hits = benchmark_hits(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10)
     gone = scratch.keep(hits.where("contaminated").select(F.col("doc_id").alias("_digest")).distinct(), "gone")
     looked = marked_by(docs.withColumn("_digest", digest), "_digest", gone, "_marked")
-    clean = looked.where("_marked").join(gone, "_digest", "left_anti").select(*docs.columns)
+    clean = looked.where("_marked").join(gone.hint("merge"), "_digest", "left_anti").select(*docs.columns)
     return looked.where("not _marked").select(*docs.columns).unionByName(clean)
 
 

@@ -513,7 +513,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 def _needed_texts(texts: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """(vertex, text) of the wanted (id, vertex, h1, h2); a row that is repeated may come once for each task."""
     held = may_match(texts.where("id is not null"), "id", wanted)
-    return scratch.keep(held.join(wanted, "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary"), "texts")
+    return scratch.keep(held.join(wanted.hint("merge"), "id").select("vertex", "h1", "h2", "text").mapInArrow(_of_set(size), "vertex long, text binary"), "texts")
 
 
 def ngram_jaccard_join(
@@ -563,7 +563,7 @@ def ngram_jaccard_join(
         members = members.join(large, "block", "left_anti").unionByName(cut.where(F.col("size") <= BLOCK).select("block", "member"))
 
     short = prefixes.mapInArrow(_short_tokens, "vertex long, n long, prefix binary")
-    small = members.withColumnRenamed("member", "vertex").join(short, "vertex").select("block", "vertex", "n", "prefix")
+    small = members.withColumnRenamed("member", "vertex").join(short.hint("merge"), "vertex").select("block", "vertex", "n", "prefix")
     possible = _sorted_by(small, max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
     members = scratch.keep(possible.unionByName(cut.where(F.col("size") > BLOCK)) if split else possible, "possible")
     scratch.drop("members", "large", "cut")
@@ -577,7 +577,7 @@ def ngram_jaccard_join(
     searched = _block_search(size, percent)
 
     def search(rows: DataFrame, name: str) -> DataFrame:
-        full = rows.join(texts_of, "vertex").select("block", "part", "vertex", "text", "label", "asked")
+        full = rows.join(texts_of.hint("merge"), "vertex").select("block", "part", "vertex", "text", "label", "asked")
         return scratch.keep(_sorted_by(full, max(parts, buckets), "block", "part").mapInArrow(searched, "a long, b long"), name)
 
     part = F.pmod(F.xxhash64("member"), F.ceil(F.col("size") / BLOCK))
