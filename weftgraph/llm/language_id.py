@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 DIMS = 1 << 13
 CENTROIDS = 4
 #: Sampled training documents of each language, and of all languages together.
@@ -122,12 +124,13 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     weights = np.zeros(DIMS, dtype=np.float32)
     for dim, n in seen.items():
         weights[dim] = np.log((1 + total) / (1 + n)) + 1
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    hashed = rows.select("lang", "text", F.xxhash64("lang", "text").alias("draw"))
+    # About how many distinct texts each language has: copies of one text must not push a language out.
+    counts = Scratch(rows.sparkSession, "language-id").keep(hashed.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")), "counts")
     languages = counts.count()
     each = max(1, min(sample_each, sample_all // max(1, languages)))
     # Drawn by a 64-bit hash of the text: some more than ``each`` distinct texts a language, then the ``each`` of the least hashes.
     drawn = F.col("draw") <= F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
-    hashed = rows.select("lang", "text", F.xxhash64("lang", "text").alias("draw"))
     sampled = hashed.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).where(drawn).select("lang", "text", "draw").dropDuplicates(["lang", "draw"])
     least = Window.partitionBy("lang").orderBy("draw")
     picked = sampled.withColumn("place", F.row_number().over(least)).where(F.col("place") <= each).select("lang", "text")

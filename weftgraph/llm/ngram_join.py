@@ -22,6 +22,9 @@ by hash; what the parts find is contracted, the parts' leaders are searched
 again, and only if a block still has several components are the members
 outside its largest one searched against all parts.  So a group of near copies
 of any size costs one look per copy, and no pair is lost.
+
+Joins that carry prefixes or texts are merge joins whatever their size, so
+plans are alike for small and large tables and nothing of them is broadcast.
 """
 
 from __future__ import annotations
