@@ -472,7 +472,8 @@ def _member_tokens(size: int):
 def _thinned(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Blocks over ``BLOCK`` without the members that share too few shingles with all others of it to match any."""
     small, large = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    rows = large.select("block", F.col("member").alias("vertex")).join(texts, "vertex").select("block", "vertex", "text")
+    rows = large.select("block", F.col("member").alias("vertex"))
+    rows = rows.join(may_match(texts, "vertex", rows), "vertex").select("block", "vertex", "text")
     tokens = rows.mapInArrow(_member_tokens(size), "block long, vertex long, n long, token long")
     shared = tokens.groupBy("block", "token").agg(F.count("*").alias("c")).where("c > 1").select("block", "token")
     able = tokens.join(shared, ["block", "token"]).groupBy("block", "vertex", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
@@ -579,13 +580,14 @@ def ngram_jaccard_join(
         members = scratch.keep(_thinned(members, texts_of, size, percent), "thinned")
     searched = _block_search(size, percent)
 
-    def search(rows: DataFrame, name: str) -> DataFrame:
-        full = rows.join(texts_of.hint("merge"), "vertex").select("block", "part", "vertex", "text", "label", "asked")
+    def search(rows: DataFrame, name: str, few: bool = True) -> DataFrame:
+        held = may_match(texts_of, "vertex", rows) if few else texts_of
+        full = rows.join(held.hint("merge"), "vertex").select("block", "part", "vertex", "text", "label", "asked")
         return scratch.keep(_sorted_by(full, max(parts, buckets), "block", "part").mapInArrow(searched, "a long, b long"), name)
 
     part = F.pmod(F.xxhash64("member"), F.ceil(F.col("size") / BLOCK))
     links = search(
-        members.select("block", part.alias("part"), F.col("member").alias("vertex"), F.col("member").alias("label"), F.lit(None).cast("boolean").alias("asked")), "links"
+        members.select("block", part.alias("part"), F.col("member").alias("vertex"), F.col("member").alias("label"), F.lit(None).cast("boolean").alias("asked")), "links", few=False
     )
     roots = connected_components(links, scratch, "roots")
     for turn in range(ROUNDS + 1) if split else ():
