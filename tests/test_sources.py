@@ -108,6 +108,13 @@ def test_merge_on_read_and_fold(spark, base, tmp_path):
     assert C.differences(C.merged_view(nodes, edges, half)[1], walked) == 0
 
 
+def test_fold_drops_edges_put_to_a_node_that_is_gone(spark, base, tmp_path):
+    nodes, edges = base
+    log = C.delete_nodes(spark.createDataFrame([(2,)], "id long"), 1)
+    log = log.union(C.put_edges(spark.createDataFrame([(12, 1, 9, "R", None), (13, 1, 2, "R", None), (14, 2, 9, "R", None)], EDGES), 2))
+    assert [r.id for r in C.fold(nodes, edges, log, f"file://{tmp_path}/base").collect()] == [12]
+
+
 def test_upserts_and_kind_deletes(spark, base):
     nodes, edges = base
     rows = spark.createDataFrame([(["C"], '{"objectid":"x","q":2}'), (["D"], '{"objectid":"z"}')], "kinds array<string>, properties string")

@@ -4,7 +4,8 @@ A change is a row ``(seq, entity, id, op, src, dst, kind, kinds, properties)``:
 the full new state of a node or edge (op ``put``) or a tombstone (``del``).
 The newest change of an id wins.  A node's tombstone takes along every edge of
 it that was there before; putting the node again doesn't bring them back.
-Edges whose ends have not come yet wait in the log.
+Edges whose ends have not come yet wait in the log; those put to a node that
+is gone at a fold are dropped by it.
 """
 
 from __future__ import annotations
@@ -162,10 +163,16 @@ def merged_view(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> tuple[Dat
 
 
 def pending_edges(nodes: DataFrame, log: DataFrame) -> DataFrame:
-    """Edge changes of which an end is not there (yet); folding carries them over."""
+    """Edge changes that wait for an end neither base nor log knows; folding carries them over.
+
+    An end whose last change is a tombstone is gone, so its edges wait for nothing.
+    """
     last = newest(log)
     live, _ = merged_view(nodes, nodes.sparkSession.createDataFrame([], "id long, src long, dst long, kind string, properties string"), log)
     edges = _without_dead_ends(last.where("entity = 'edge' and op = 'put'"), log)
+    gone = last.where("entity = 'node' and op = 'del'").select(F.col("id").alias("_gone"))
+    for end in ("src", "dst"):
+        edges = edges.join(gone, F.col(end) == F.col("_gone"), "left_anti")
     both = edges.join(live.select(F.col("id").alias("_a")), F.col("src") == F.col("_a"), "left_semi").join(live.select(F.col("id").alias("_b")), F.col("dst") == F.col("_b"), "left_semi")
     return edges.join(both.select("id"), "id", "left_anti").select(*CHANGE.fieldNames())
 
