@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,29 @@ def test_divide_skip(seed):
         assert sorted(index.search(sorted(s), len(s))) == [i for i, t in enumerate(sets) if similar(s, t)]
 
 
+def test_a_block_of_near_copies_is_searched_in_little_time():
+    """Every list holds nearly every set, and a third of the sets are linked with none: the search may take no second look for each pair."""
+    rng = np.random.default_rng(1)
+    sets = [np.sort(np.r_[rng.choice(400, 400 - e, replace=False), 1000 + rng.choice(100_000, e, replace=False)]).astype(np.uint64) for e in rng.integers(5, 70, 400).tolist()]
+    held = np.zeros((len(sets), 101_000), dtype=np.float32)
+    for x, s in enumerate(sets):
+        held[x, s.astype(np.int64)] = 1
+    both = held @ held.T
+    linked = 100 * both >= 80 * (800 - both)
+    want = tsearch.Sets(len(sets))
+    for x, y in np.argwhere(linked).tolist():
+        want.join(x, y)
+    began = time.process_time()
+    got = tsearch.Sets(len(sets))
+    for x, y in tsearch.block_links(sets, [400] * len(sets), list(range(len(sets))), None, 80):
+        assert linked[x, y]
+        got.join(x, y)
+    took = time.process_time() - began
+    assert [got.root(x) for x in range(len(sets))] == [want.root(x) for x in range(len(sets))]
+    assert 50 < len({got.root(x) for x in range(len(sets))}) < 350
+    assert took < 2.5
+
+
 def test_quality_rules(docs, texts, none):
     got = {r.row.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     bad, hosts = {}, Counter()

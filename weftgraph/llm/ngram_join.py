@@ -426,7 +426,7 @@ def _block_search(size: int, percent: int):
         if len(order) < 2:
             return []
         queries = None if asked[0] is None else [bool(asked[i]) for i in order]
-        found = block_links([sets[i].tolist() for i in order], [sizes[i] for i in order], [labels[i] for i in order], queries, percent)
+        found = block_links([sets[i] for i in order], [sizes[i] for i in order], [labels[i] for i in order], queries, percent)
         return _stars([(vertices[order[x]], vertices[order[y]]) for x, y in found])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
