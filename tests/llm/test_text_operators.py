@@ -402,3 +402,41 @@ def test_the_sample_takes_distinct_texts_of_every_language(spark):
     rows = [("the same english text again", "en")] * 3000 + [(f"eins zwei drei vier nummer {i}", "de") for i in range(40)]
     model = language_id.fit_languages(spark.createDataFrame(rows, "text string, lang string"), sample_each=20, sample_all=40)
     assert set(model.languages) == {"en", "de"} and model.languages.count("en") == 1 and model.languages.count("de") > 1
+
+
+def _relatives(rng, n, copies):
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for most in rng.integers(0, n // 4 + 1, copies).tolist():
+        yield np.unique(np.r_[base[most:], rng.integers(0, 1 << 63, int(rng.integers(0, most + 1)), dtype=np.uint64)])
+
+
+def test_parities_keep_every_similar_pair_and_part_strangers():
+    """Sets that share a fifth with all others of their block leave it; widths of parities differ within blocks."""
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    blocks, sets, strangers = [], [], set()
+    for block, n in enumerate([1, 4, 30, 85, 86, 400, 1360, 1370] * 3):
+        made = list(_relatives(rng, n, 6))
+        strangers |= set(range(len(sets) + len(made), len(sets) + len(made) + 5))
+        made += [np.unique(np.r_[common, rng.integers(0, 1 << 63, 160, dtype=np.uint64)]) for _ in range(5)]
+        sets += made
+        blocks += [block] * len(made)
+    sizes = np.array([len(s) for s in sets])
+    x, y = ngram_join.close_pairs(np.array(blocks), sizes, [ngram_join._parities(s) for s in sets], 80)
+    got = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    held = [frozenset(s.tolist()) for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if blocks[i] == blocks[j] and similar(held[i], held[j])}
+    assert len(want) > 100 and want <= got
+    assert not any(i in strangers or j in strangers for i, j in got)
+
+
+def test_large_blocks_lose_strangers_and_keep_partners_of_other_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 1 << 63, 180, dtype=np.uint64)]) for _ in range(60)]
+    sets += [np.r_[s[:-3], s[-3:] + np.uint64(1)] for s in sets[:6]]
+    bits = spark.createDataFrame([(i, len(s), ngram_join._parities(s)) for i, s in enumerate(sets)], "vertex long, n long, bits binary")
+    large = spark.createDataFrame([(b, i, len(sets)) for b in (5, 9) for i in range(len(sets))], "block long, member long, size long")
+    got = ngram_join._thinned(large, bits, 80, 4, ngram_join.Scratch(spark, "thinned")).collect()
+    assert sorted((r.block, r.member, r.size) for r in got) == [(b, i, 12) for b in (5, 9) for i in [*range(6), *range(60, 66)]]

@@ -10,15 +10,18 @@ often among all documents moved to the end.
 Of a similar pair, the smaller set has one of the shared shingles even within
 its first n - ceil(2 p n / (100 + p)) + 1.  A shingle's list keeps the sets that
 have a partner in it by these places and by set size; they belong to the block
-named by the least of them, so every similar pair meets in a block.  Prefixes
-alone then tell most strangers apart: up to the end of the shorter prefix it
-is known how many shingles a pair shares and how many each has left, which
-bounds the overlap.  Blocks fall into the groups that this bound leaves
-connected; sets that are left alone go, and only the others' texts are read
-again and searched by DivideSkip (``tsearch``).
-
-Blocks larger than ``BLOCK`` are cut by set size, and if still too large split
-by hash; what the parts find is contracted, the parts' leaders are searched
+named by the least of them, so every similar pair meets in a block.  Strangers
+meet there too, by a shingle that both happen to have, and the more the larger
+the corpus is.  Most are told apart by parities, one bit for each cell that an
+odd number of a set's shingles falls into: sets differ in no fewer shingles
+than bits.  Blocks fall into the groups that this bound leaves connected, and
+these into those that prefixes leave connected: up to the end of the shorter
+prefix it is known how many shingles a pair shares and how many each has left,
+which bounds the overlap.  Sets that are left alone go, and only the others'
+texts are read again and searched by DivideSkip (``tsearch``).
+
+Blocks larger than ``BLOCK`` are cut by set size, and if still too large lose
+the members that parities leave no partner and are split by hash; what the parts find is contracted, the parts' leaders are searched
 again, and only if a block still has several components are the members
 outside its largest one searched against all parts.  So a group of near copies
 of any size costs one look per copy, and no pair is lost.
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from .bitfilter import may_match
 from .components import connected_components
 from .storage import Scratch, shuffle_partitions
-from .textkeys import EMPTY, shingle_set, shingle_sets
+from .textkeys import AT_ONCE, EMPTY, least_overlap, shingle_sets
 from .tsearch import block_links
 
 #: Members of a block, or of a part of it, that one search holds in memory.
@@ -90,6 +93,18 @@ def _set_key(tokens: np.ndarray) -> tuple[int, int]:
     return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
 
 
+def _parities(tokens: np.ndarray) -> bytes:
+    """One bit for each cell that an odd number of tokens falls into, three quarters as many cells as tokens or more.
+
+    The exclusive or of two sets' bits has a bit at most for each token that
+    only one of them holds; cells are a power of two, so halves laid upon each
+    other give the bits of half as many cells.
+    """
+    cells = max(64, 1 << (3 * len(tokens) // 4 - 1).bit_length())
+    held = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8)
+    return np.packbits(held & 1, bitorder="little").tobytes()
+
+
 def _often_met(size: int, percent: int):
     """(token, count) of prefix tokens, in hash order, that stand in two of the texts a task has gathered or more."""
 
@@ -117,12 +132,12 @@ def _often_met(size: int, percent: int):
 
 
 def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
-    """(id, n, h1, h2, prefix): size and key of each text's set; the prefix only where the task meets the set first."""
+    """(id, n, h1, h2, prefix, bits): size and key of each text's set; prefix and parities only where the task meets the set first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in batches:
-            n, h1, h2, prefix = [], [], [], []
+            n, h1, h2, prefix, bits = [], [], [], [], []
             for named, tokens in zip(batch.column("id").is_valid().to_pylist(), shingle_sets(batch.column("text").to_pylist(), size), strict=True):
                 key = _set_key(tokens)
                 n.append(len(tokens))
@@ -130,12 +145,13 @@ def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
                 h2.append(key[1])
                 fresh = named and len(tokens) > 0 and key not in met
                 prefix.append(_prefix(tokens, percent, frequent).tobytes() if fresh else None)
+                bits.append(_parities(tokens) if fresh else None)
                 if fresh:
                     if len(met) >= KEYS:
                         met.clear()
                     met.add(key)
-            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n", "h1", "h2", "prefix"])
+            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n", "h1", "h2", "prefix", "bits"])
 
     return rows
 
@@ -255,6 +271,87 @@ def _members(percent: int):
     return rows
 
 
+def _group_name(members: np.ndarray) -> int:
+    """Equal groups of different blocks get one name; members are sorted."""
+    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+
+
+def close_pairs(blocks: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block, rows sorted by it, whose parities leave them a chance; all pairs of a batch in a few steps.
+
+    Sets of n and m that differ in d tokens share (n + m - d) / 2, and d is no
+    less than the number of bits in which they differ.
+    """
+    m = len(blocks)
+    widths = np.array([len(b) // 8 for b in bits], dtype=np.int64)
+    rows = {}
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        held = np.frombuffer(b"".join(bits[i] for i in at.tolist()), dtype=np.uint64).reshape(len(at), width)
+        place = np.full(m, -1)
+        place[at] = np.arange(len(at))
+        rows[width] = (place, held)
+    found = []
+    for step in range(1, m):
+        left = np.flatnonzero(blocks[step:] == blocks[:-step])
+        if not len(left):
+            break
+        right = left + step
+        few, many = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
+        fits = 100 * few >= percent * many
+        left, right = left[fits], right[fits]
+        most = (sizes[left] + sizes[right]) - 2 * least_overlap(sizes[left], sizes[right], percent)
+        both = np.minimum(widths[left], widths[right]) << 32 | np.maximum(widths[left], widths[right])
+        for kind in np.unique(both).tolist():
+            low, high = kind >> 32, kind & (1 << 32) - 1
+            these = np.flatnonzero(both == kind)
+            for start in range(0, len(these), max(1, AT_ONCE // (8 * high))):
+                part = these[start : start + max(1, AT_ONCE // (8 * high))]
+                x, y = left[part], right[part]
+                swap = widths[x] > widths[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                folded = np.bitwise_xor.reduce(rows[high][1][rows[high][0][y]].reshape(len(part), high // low, low), axis=1)
+                near = np.bitwise_count(rows[low][1][rows[low][0][x]] ^ folded).sum(axis=1, dtype=np.int64) <= most[part]
+                found.append(np.stack([x[near], y[near]]))
+    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+    return pairs[0], pairs[1]
+
+
+def _close(percent: int):
+    """Rows sorted by block to (block, member) of the groups that hold together by pairs that parities leave a chance."""
+
+    def close(batch: pa.Table) -> pa.RecordBatch:
+        blocks, vertices = batch.column("block").to_numpy(), batch.column("vertex").to_numpy()
+        x, y = close_pairs(blocks, batch.column("n").to_numpy(), batch.column("bits").to_pylist(), percent)
+        group, before = np.arange(len(blocks)), None
+        while before is None or (group != before).any():
+            before = group.copy()
+            least = np.minimum(group[x], group[y])
+            np.minimum.at(group, before[x], least)
+            np.minimum.at(group, before[y], least)
+            group = group[group]
+        held = np.unique(np.concatenate([x, y]))
+        held = held[np.lexsort((vertices[held], group[held]))]
+        cuts = np.flatnonzero(np.r_[True, group[held][1:] != group[held][:-1], True]) if len(held) else np.zeros(1, dtype=np.int64)
+        names = [_group_name(vertices[held[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, dtype=np.int64), np.diff(cuts))), pa.array(vertices[held])], names=["block", "member"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cut = int(np.searchsorted(blocks, blocks[-1])) if len(blocks) else 0
+            if cut or (rest and len(blocks) and rest[-1].column("block")[0].as_py() != blocks[0]):
+                yield close(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                rest = []
+            if len(blocks):
+                rest.append(batch.slice(cut))
+        if rest:
+            yield close(pa.Table.from_batches(rest))
+
+    return rows
+
+
 def _shared_counts(prefixes: list[np.ndarray]) -> np.ndarray:
     """How many tokens each two prefixes share; no fewer where tokens cut short are alike within a prefix."""
     m = len(prefixes)
@@ -317,10 +414,10 @@ def _possible(percent: int):
 
     def groups(held: list[tuple]) -> Iterator[tuple[int, list[int]]]:
         vertices, n, blobs = zip(*held, strict=True)
-        prefixes = [np.frombuffer(b, dtype=np.uint32) for b in blobs]
+        prefixes = [np.frombuffer(b, dtype=np.uint64) for b in blobs]
         for group in possible_groups(np.array(n, dtype=np.int64), prefixes, percent):
             members = sorted(vertices[i] for i in group)
-            yield xxhash.xxh3_64_intdigest(np.array(members, dtype=np.int64).tobytes()) - (1 << 63), members
+            yield _group_name(np.array(members, dtype=np.int64)), members
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -353,13 +450,6 @@ def _possible(percent: int):
     return rows
 
 
-def _short_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefixes with the upper half of each token, which keeps their order."""
-    for batch in batches:
-        short = [(np.frombuffer(p, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for p in batch.column("prefix").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("n"), pa.array(short, pa.binary())], names=["vertex", "n", "prefix"])
-
-
 def _of_set(size: int):
     """Rows whose text has the set that the row names: an id may be repeated with other texts."""
 
@@ -455,31 +545,84 @@ def _block_search(size: int, percent: int):
     return rows
 
 
-def _member_tokens(size: int):
-    """(block, vertex, n, token) of every shingle of the rows' texts."""
+def _partners(percent: int):
+    """Rows sorted by (block, part) to (block, member, met) of those that are asked: whether parities leave them a partner in the part.
+
+    Null in `asked`: every row is asked about all others.  One that was met by
+    an earlier row needs no look of its own, so near copies cost few.
+    """
+
+    def met(n: np.ndarray, bits: list[bytes], asked: list) -> tuple[np.ndarray, np.ndarray]:
+        every = asked[0] is None
+        queries = np.arange(len(n)) if every else np.flatnonzero(np.array(asked))
+        others = queries if every else np.flatnonzero(~np.array(asked))
+        widths = np.array([len(b) // 8 for b in bits], dtype=np.int64)
+        words = [np.frombuffer(b, dtype=np.uint64) for b in bits]
+        held = {(w, w): np.stack([words[i] for i in others[widths[others] == w].tolist()]) for w in np.unique(widths[others]).tolist()}
+        places = {w: others[widths[others] == w] for w, _ in held}
+        out = np.zeros(len(n), dtype=bool)
+        for x in queries.tolist():
+            if out[x]:
+                continue
+            for w, at in places.items():
+                low = min(w, len(words[x]))
+                if (w, low) not in held:
+                    held[w, low] = np.bitwise_xor.reduce(held[w, w].reshape(len(at), w // low, low), axis=1)
+                own = np.bitwise_xor.reduce(words[x].reshape(-1, low), axis=0)
+                differ = np.bitwise_count(held[w, low] ^ own).sum(axis=1, dtype=np.int64)
+                near = differ <= n[x] + n[at] - 2 * least_overlap(int(n[x]), n[at], percent)
+                near &= 100 * np.minimum(n[x], n[at]) >= percent * np.maximum(n[x], n[at])
+                if every:
+                    near &= at != x
+                    out[at[near]] = True
+                if near.any():
+                    out[x] = True
+                    if not every:
+                        break
+        return queries, out[queries]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def made() -> pa.RecordBatch:
+            vertices, n, bits, asked = map(list, zip(*held, strict=True))
+            queries, found = met(np.array(n, dtype=np.int64), bits, asked)
+            members = np.array(vertices, dtype=np.int64)[queries]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(members), now[0], dtype=np.int64)), pa.array(members), pa.array(found)], names=["block", "member", "met"])
+
         for batch in batches:
-            for block, vertex, text in zip(*(batch.column(c).to_pylist() for c in ("block", "vertex", "text")), strict=True):
-                tokens = shingle_set(text, size)
-                if len(tokens):
-                    n = len(tokens)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, vertex)), pa.array(np.full(n, n)), pa.array(_signed(tokens))], names=["block", "vertex", "n", "token"])
+            names = ("block", "part", "vertex", "n", "bits", "asked")
+            for block, part, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (block, part) != now:
+                    if held:
+                        yield made()
+                    now, held = (block, part), []
+                held.append(row)
+        if held:
+            yield made()
 
     return rows
 
 
-def _thinned(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Blocks over ``BLOCK`` without the members that share too few shingles with all others of it to match any."""
-    small, large = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    rows = large.select("block", F.col("member").alias("vertex"))
-    rows = rows.join(may_match(texts, "vertex", rows), "vertex").select("block", "vertex", "text")
-    tokens = rows.mapInArrow(_member_tokens(size), "block long, vertex long, n long, token long")
-    shared = tokens.groupBy("block", "token").agg(F.count("*").alias("c")).where("c > 1").select("block", "token")
-    able = tokens.join(shared, ["block", "token"]).groupBy("block", "vertex", "n").agg(F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
-    kept = able.select("block", F.col("vertex").alias("member")).distinct()
+def _thinned(large: DataFrame, bits: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """Blocks without the members whose parities leave them no partner: looked for in the member's own part of the block, then in all others."""
+    count = F.ceil(F.col("size") / (4 * BLOCK))
+    dealt = large.select("block", F.col("member").alias("vertex"), "size", F.pmod(F.xxhash64("member"), count).alias("part"))
+    held = scratch.keep(dealt.join(may_match(bits, "vertex", dealt).hint("merge"), "vertex"), "dealt")
+    partners = lambda rows, name: scratch.keep(
+        _sorted_by(rows.select("block", "part", "vertex", "n", "bits", "asked"), parts, "block", "part").mapInArrow(_partners(percent), "block long, member long, met boolean"), name
+    )
+    met = partners(held.withColumn("asked", F.lit(None).cast("boolean")), "met")
+    alone = met.where("not met").select("block", F.col("member").alias("vertex"))
+    asked = held.where(count > 1).join(alone, ["block", "vertex"], "left_semi")
+    kept = met.where("met").select("block", "member")
+    if not asked.isEmpty():
+        others = asked.withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).where("part <> own").drop("own")
+        there = held.join(alone.select("block").distinct(), "block", "left_semi").select(*others.columns)
+        again = partners(others.withColumn("asked", F.lit(True)).unionByName(there.withColumn("asked", F.lit(False))), "met-elsewhere")
+        kept = kept.unionByName(again.where("met").select("block", "member").distinct())
     sizes = kept.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    return small.unionByName(kept.join(sizes, "block").select(*members.columns))
+    return kept.join(sizes, "block").select(*large.columns)
 
 
 def _cut(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -543,8 +686,8 @@ def ngram_jaccard_join(
     counts = scratch.keep(counts.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= SELDOM), "counts")
     frequent = _frequent(counts)
 
-    rows = scratch.keep(texts.mapInArrow(_prefix_rows(size, percent, frequent), f"id {id_type}, n long, h1 long, h2 long, prefix binary"), "rows")
-    sets = rows.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    rows = scratch.keep(texts.mapInArrow(_prefix_rows(size, percent, frequent), f"id {id_type}, n long, h1 long, h2 long, prefix binary, bits binary"), "rows")
+    sets = rows.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits"))
     sets = scratch.keep(sets.withColumn("vertex", F.monotonically_increasing_id()), "sets")
     scratch.drop("counts")
 
@@ -566,18 +709,22 @@ def ngram_jaccard_join(
         cut = scratch.keep(_cut(members.join(large, "block", "left_semi"), sets, percent), "cut")
         members = members.join(large, "block", "left_anti").unionByName(cut.where(F.col("size") <= BLOCK).select("block", "member"))
 
-    short = prefixes.mapInArrow(_short_tokens, "vertex long, n long, prefix binary")
-    small = members.withColumnRenamed("member", "vertex").join(short.hint("merge"), "vertex").select("block", "vertex", "n", "prefix")
+    # The parities first: they are a fraction of the prefixes and leave few strangers in a block.
+    held = members.withColumnRenamed("member", "vertex").join(sets.select("vertex", "n", "bits").hint("merge"), "vertex").select("block", "vertex", "n", "bits")
+    close = _sorted_by(held, max(parts, buckets), "block").mapInArrow(_close(percent), "block long, member long").distinct()
+    close = scratch.keep(close.withColumnRenamed("member", "vertex"), "close")
+    small = close.join(may_match(prefixes, "vertex", close).hint("merge"), "vertex").select("block", "vertex", "n", "prefix")
     possible = _sorted_by(small, max(parts, buckets), "block").mapInArrow(_possible(percent), "block long, member long, size long").distinct()
-    members = scratch.keep(possible.unionByName(cut.where(F.col("size") > BLOCK)) if split else possible, "possible")
-    scratch.drop("members", "large", "cut")
+    if split:
+        thinned = _thinned(cut.where(F.col("size") > BLOCK), sets.select("vertex", "n", "bits"), percent, max(parts, buckets), scratch)
+        possible = possible.unionByName(thinned.select(*possible.columns))
+    members = scratch.keep(possible, "possible")
+    scratch.drop("members", "large", "cut", "close", "dealt", "met", "met-elsewhere")
 
     wanted = sets.join(members.select(F.col("member").alias("vertex")), "vertex", "left_semi").select("vertex", "h1", "h2", F.col("least").alias("id"))
     texts_of = _needed_texts(texts, scratch.keep(wanted, "wanted"), size, scratch)
     scratch.drop("wanted")
     split = split and not members.where(F.col("size") > BLOCK).isEmpty()
-    if split:
-        members = scratch.keep(_thinned(members, texts_of, size, percent), "thinned")
     searched = _block_search(size, percent)
 
     def search(rows: DataFrame, name: str, few: bool = True) -> DataFrame:
