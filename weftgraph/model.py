@@ -64,6 +64,7 @@ class Graph:
     #: What is done with an edge table (kind, table) when a query reads it, such as saving a derived one.
     keep: Callable[[str, DataFrame], DataFrame] | None = None
     _types: dict[str, DataType] = field(default_factory=dict)
+    _rows: dict[int | str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for table in self.node_tables:
@@ -127,6 +128,18 @@ class Graph:
             out = df.where(F.lit(False)).select("id", "src", "dst", F.lit(kind).alias("kind"), *(self._value(df, p, True).alias(f"p_{i}") for i, p in enumerate(props)))
         return out
 
+    def rows_of_nodes(self, kinds: tuple[str, ...] = ()) -> float:
+        """Rows of the tables that hold nodes with all ``kinds``; counted once."""
+        return sum(self._counted(i, t.df) for i, t in enumerate(self.node_tables) if set(kinds) <= t.always | t.maybe)
+
+    def rows_of_edges(self, kinds: tuple[str, ...] = ()) -> float:
+        return sum(self._counted(k, self.keep(k, df) if self.keep else df) for k, df in self.edge_tables.items() if not kinds or k in kinds)
+
+    def _counted(self, key: int | str, df: DataFrame) -> int:
+        if key not in self._rows:
+            self._rows[key] = df.count()
+        return self._rows[key]
+
     def query(self, text: str, parameters: dict | None = None, strict: bool = False, shortest: str | None = None) -> DataFrame:
         """Answer a query; ``shortest`` ('pair' or 'overall') settles undecided all-shortest-path modes."""
         from .plans.compiler import compile_query

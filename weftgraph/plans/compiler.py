@@ -9,53 +9,27 @@ long variable-length ranges and shortest paths run as loops.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import refuse
-from ..functions.expr import AGGREGATES, Expressions, entity_struct
+from ..functions.expr import Expressions, entity_struct
 from ..functions.props import Prop
 from ..operators.hydrate import whole_paths
 from ..operators.shortest import shortest_paths
 from ..operators.trails import trails
 from . import ast as A
+from .counting import Counting
 from .parser import parse
 from .strict import check_strict
 from .symbols import Frame, Symbol
+from .tree import conjuncts, has_aggregate, names_in, walk
 
 
-def walk(node) -> Iterator[object]:
-    """All tree nodes under and including ``node``."""
-    if isinstance(node, (tuple, list)):
-        for x in node:
-            yield from walk(x)
-    elif hasattr(node, "__dataclass_fields__"):
-        yield node
-        for name in node.__dataclass_fields__:
-            yield from walk(getattr(node, name))
-
-
-def conjuncts(where) -> list:
-    """The parts of a condition that must all hold."""
-    if where is None:
-        return []
-    if isinstance(where, A.Binary) and where.op == "and":
-        return conjuncts(where.left) + conjuncts(where.right)
-    return [where]
-
-
-def names_in(node) -> set[str]:
-    out = {x.name for x in walk(node) if isinstance(x, A.Variable)}
-    for x in walk(node):
-        if isinstance(x, (A.NodePattern, A.EdgePattern, A.Pattern)) and x.name:
-            out.add(x.name)
-    return out
-
-
-def has_aggregate(node) -> bool:
-    return any(isinstance(x, A.Call) and x.name in AGGREGATES for x in walk(node))
+def keyed(items) -> tuple[A.Item, ...]:
+    """Items under names of their own."""
+    return tuple(A.Item(item.value, f"_r{i}") for i, item in enumerate(items))
 
 
 def turned_about(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -95,13 +69,14 @@ class Compiler:
     def run(self, query: A.Query) -> DataFrame:
         self.note_needs(query)
         frame, out = Frame(), None
-        for clause in query.clauses:
+        counted = self.counting(query)
+        for clause in query.clauses if counted is None else query.clauses[-1:]:
             if isinstance(clause, A.Match):
                 frame = self.optional(frame, clause) if clause.optional else self.match(frame, clause)
             elif isinstance(clause, A.Unwind):
                 frame = self.unwind(frame, clause)
             elif clause.final:
-                out = self.finish(frame, clause)
+                out = self.finish(frame, clause, counted)
             else:
                 frame = self.carry(frame, clause)
         if out is None:
@@ -112,6 +87,14 @@ class Compiler:
             out = out if query.union[1] else out.distinct()
         return out
 
+    def counting(self, query: A.Query) -> Counting | None:
+        """The matches as counts, if the query asks for nothing else."""
+        *matches, last = query.clauses
+        if self.graph.budget is not None or not matches or any(not isinstance(c, A.Match) or c.optional for c in matches) or not isinstance(last, A.Project) or last.star:
+            return None
+        counted = Counting(self, matches, keyed(last.items))
+        return counted if counted.fits else None
+
     def note_needs(self, query: A.Query) -> None:
         alias: dict[str, set[str]] = defaultdict(set)
         for clause in query.clauses:
@@ -522,7 +505,7 @@ class Compiler:
             value = self.expressions(frame).value(item.value)
             stem = self.fresh("w")
             df = df.withColumn(stem, value.col)
-            symbols[name] = Symbol("scalar", {"value": stem}, type=value.type if not (value.prop and not value.prop.json) else {"str": "text", "num": "float8", "bool": "bool", "arr": "list"}[value.prop.tag])
+            symbols[name] = Symbol("scalar", {"value": stem}, type=self.scalar_type(value))
             groups.append(stem)
         groups = list(dict.fromkeys(groups))
         if made or collected:
@@ -542,6 +525,10 @@ class Compiler:
             df = None
         return Frame(df, symbols)
 
+    @staticmethod
+    def scalar_type(value) -> str:
+        return value.type if not (value.prop and not value.prop.json) else {"str": "text", "num": "float8", "bool": "bool", "arr": "list"}[value.prop.tag]
+
     def aggregate(self, frame: Frame, call: A.Call):
         """(column, value type) of an aggregate call."""
         if call.name == "count" and call.star:
@@ -560,7 +547,7 @@ class Compiler:
             return (F.sum_distinct(number) if call.name == "sum" else F.sum_distinct(number) / F.count_distinct(number)), "float8"
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[call.name](number), value.type if value.type != "prop" else "text" if call.name in ("min", "max") and value.prop.tag == "str" else "float8"
 
-    def finish(self, frame: Frame, clause: A.Project) -> DataFrame:
+    def finish(self, frame: Frame, clause: A.Project, counted: Counting | None = None) -> DataFrame:
         """RETURN: names, groups, distinct rows, order and slice."""
         items = self.items(frame, clause)
         taken: set[str] = set()
@@ -582,8 +569,7 @@ class Compiler:
 
         titles = [title(i) for i in items]
         if any(has_aggregate(i.value) for i in items):
-            keyed = [A.Item(item.value, f"_r{i}") for i, item in enumerate(items)]
-            frame = self.projected(frame, A.Project(tuple(keyed)))
+            frame = counted.frame() if counted else self.projected(frame, A.Project(keyed(items)))
             order = []
             for value, up in clause.order:
                 at = next((i for i, item in enumerate(items) if item.value == value or isinstance(value, A.Variable) and item.alias == value.name), None)
