@@ -8,7 +8,7 @@ key; JSON null: t = 'null').  Queries see both through ``functions.props``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 from .errors import refuse
+from .sources.json_props import property_values
 
 #: Spark type of one property value of a free-form graph.
 JSON_VALUE = "struct<t:string,txt:string,num:double,bool:boolean,arr:array<string>,raw:string>"
@@ -34,13 +35,19 @@ class NodeTable:
     maybe: frozenset[str] = frozenset()
     base: int | None = None
     key: str | None = None
+    #: The rows of a free-form table before any property is read: ``id``, ``kinds``, ``properties`` as JSON text.
+    raw: DataFrame | None = None
 
     def of_ids(self, ids: list[int]) -> DataFrame:
         """The rows of these ids, and perhaps others."""
         if self.key is None:
-            return self.df.where(F.col("id").isin(ids))
+            return self.rows.where(F.col("id").isin(ids))
         return self.df.where(F.col(self.key).isin([i - self.base for i in ids]))
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.df if self.raw is None else self.raw
+
     @property
     def props(self) -> dict[str, DataType]:
         return {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("id", "kinds", self.key)}
@@ -55,7 +62,7 @@ class Graph:
 
     spark: SparkSession
     node_tables: list[NodeTable]
-    edge_tables: dict[str, DataFrame]
+    edge_tables: Mapping[str, DataFrame]
     json: bool = False
     #: Epoch seconds that datetime() reads; the session's clock if not given.
     now: int | None = None
@@ -72,7 +79,8 @@ class Graph:
                 # Tables that disagree on a type are read as text.
                 self._types[name] = kind if self._types.get(name, kind) == kind else StringType()
         self._edge_types: dict[str, DataType] = {}
-        for df in self.edge_tables.values():
+        # Free-form tables have one map each, and may not be made yet.
+        for df in () if self.json else self.edge_tables.values():
             for f in df.schema.fields:
                 if f.name not in ("id", "src", "dst", "kind"):
                     self._edge_types[f.name] = f.dataType if self._edge_types.get(f.name, f.dataType) == f.dataType else StringType()
@@ -102,10 +110,13 @@ class Graph:
         for table in self.node_tables:
             if not set(kinds) <= table.always | table.maybe:
                 continue
-            df = table.df if ids is None else table.of_ids(ids)
+            df = table.rows if ids is None else table.of_ids(ids)
             for kind in sorted(set(kinds) - table.always):
                 df = df.where(F.array_contains("kinds", kind))
-            df = df.select("id", "kinds", *(self._value(df, p, False).alias(f"p_{i}") for i, p in enumerate(props)))
+            if table.raw is not None:
+                df = df.select("id", "kinds", *([F.inline_outer(property_values(F.col("properties"), props))] if props else []))
+            else:
+                df = df.select("id", "kinds", *(self._value(df, p, False).alias(f"p_{i}") for i, p in enumerate(props)))
             out = df if out is None else out.unionByName(df)
         if out is None:
             template = self.node_tables[0].df
@@ -130,7 +141,7 @@ class Graph:
 
     def rows_of_nodes(self, kinds: tuple[str, ...] = ()) -> float:
         """Rows of the tables that hold nodes with all ``kinds``; counted once."""
-        return sum(self._counted(i, t.df) for i, t in enumerate(self.node_tables) if set(kinds) <= t.always | t.maybe)
+        return sum(self._counted(i, t.rows) for i, t in enumerate(self.node_tables) if set(kinds) <= t.always | t.maybe)
 
     def rows_of_edges(self, kinds: tuple[str, ...] = ()) -> float:
         return sum(self._counted(k, self.keep(k, df) if self.keep else df) for k, df in self.edge_tables.items() if not kinds or k in kinds)

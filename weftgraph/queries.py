@@ -239,9 +239,12 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Events as nodes of a free-form graph, each linked to its user's next."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     nodes = events.select(F.col("event_id").alias("id"), F.array("event_type").alias("kinds"), F.col("props").alias("properties"))
-    following = commerce_graph(spark, sf_dir).edges(("NEXT",))
-    base = 7 * 10**12
-    edges = following.select("id", (F.col("src") - base).alias("src"), (F.col("dst") - base).alias("dst"), "kind", F.lit(None).cast("string").alias("properties"))
+
+    def edges() -> DataFrame:
+        following = commerce_graph(spark, sf_dir).edges(("NEXT",))
+        base = 7 * 10**12
+        return following.select("id", (F.col("src") - base).alias("src"), (F.col("dst") - base).alias("dst"), "kind", F.lit(None).cast("string").alias("properties"))
+
     return free_graph(nodes, edges)
 
 

@@ -9,6 +9,8 @@ as id (``match_by`` absent or ``id``), by the property ``name``, or by
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +24,56 @@ _END = "struct<match_by:string,value:string,kind:string,property_matchers:array<
 _DOCUMENT = f"struct<metadata:struct<source_kind:string>,graph:struct<nodes:array<struct<id:string,kinds:array<string>,properties:variant>>,edges:array<struct<kind:string,start:{_END},end:{_END},properties:variant>>>>"
 
 
-def free_graph(nodes: DataFrame, edges: DataFrame, now: int | None = None) -> Graph:
+class Later(Mapping):
+    """A mapping that is made when it is first looked at."""
+
+    def __init__(self, make: Callable[[], Mapping]) -> None:
+        self._make, self._made = make, None
+
+    def _all(self) -> Mapping:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+    def __getitem__(self, key):
+        return self._all()[key]
+
+    def __iter__(self):
+        return iter(self._all())
+
+    def __len__(self) -> int:
+        return len(self._all())
+
+
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key; where all keys differ, which needs only the keys, the rows as they are."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df if twice.isEmpty() else df.dropDuplicates(keys)
+
+
+def free_graph(nodes: DataFrame, edges: DataFrame | Callable[[], DataFrame], now: int | None = None) -> Graph:
     """A graph of ``nodes(id, kinds, properties)`` and ``edges(id, src, dst, kind, properties)``, properties as JSON text.
 
     Repeated node ids and edges are dropped to one, edges without both ends are
-    dropped.
+    dropped.  Edges, or a function that makes them, are looked at only by
+    queries that walk them.
     """
-    nodes = nodes.select("id", "kinds", F.coalesce(property_map(F.col("properties")), F.create_map().cast("map<string,struct<t:string,txt:string,num:double,bool:boolean,arr:array<string>,raw:string>>")).alias("props"))
-    nodes = nodes.dropDuplicates(["id"])
-    edges = edges.dropDuplicates(["src", "dst", "kind"])
-    for end in ("src", "dst"):
-        edges = edges.join(nodes.select(F.col("id").alias("_n")), F.col(end) == F.col("_n"), "left_semi")
-    edges = edges.select("id", "src", "dst", "kind", property_map(F.col("properties")).alias("props"))
-    kinds = [r[0] for r in edges.select("kind").distinct().collect()]
-    seen = [r[0] for r in nodes.select(F.explode("kinds")).distinct().collect()]
-    tables = {k: edges.where(F.col("kind") == k).drop("kind") for k in sorted(kinds)}
-    return Graph(nodes.sparkSession, [NodeTable(nodes, frozenset(), frozenset(seen))], tables, json=True, now=now)
+    raw = once(nodes.select("id", "kinds", "properties"), ["id"])
+    none = F.create_map().cast("map<string,struct<t:string,txt:string,num:double,bool:boolean,arr:array<string>,raw:string>>")
+    typed = raw.select("id", "kinds", F.coalesce(property_map(F.col("properties")), none).alias("props"))
+    seen = [r[0] for r in raw.select(F.explode("kinds")).distinct().collect()]
+
+    def edge_tables() -> dict[str, DataFrame]:
+        known = once(edges() if callable(edges) else edges, ["src", "dst", "kind"])
+        whole = known
+        for end in ("src", "dst"):
+            whole = whole.join(raw.select(F.col("id").alias("_n")), F.col(end) == F.col("_n"), "left_semi")
+        numbers = [dict(df.groupBy("kind").count().collect()) for df in (known, whole)]
+        # Where no edge lacks an end, queries don't look for ends again.
+        rows = (known if numbers[0] == numbers[1] else whole).select("id", "src", "dst", "kind", property_map(F.col("properties")).alias("props"))
+        return {k: rows.where(F.col("kind") == k).drop("kind") for k in sorted(numbers[1])}
+
+    return Graph(nodes.sparkSession, [NodeTable(typed, frozenset(), frozenset(seen), raw=raw)], Later(edge_tables), json=True, now=now)
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
