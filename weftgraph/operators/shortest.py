@@ -4,6 +4,10 @@ Distances are found forward from the smaller end; paths are then read
 backward along edges whose distances differ by one, so no path needs a check
 for repeats.  Levels are checkpointed: a plan never holds more than one.
 
+Edges are the large table: a level that fits in ``LIGHT`` bytes is sent to
+them, so they are read but not shuffled; only larger levels are shuffled with
+them.
+
 A state is kept for each root and node, and roots that have met all ends drop
 out.  For the least length overall all roots search as one, so there is a
 state for each node alone, unless an end is a start too.
@@ -18,6 +22,13 @@ from ..sources.scratch import settled
 from .trails import oriented, within_budget
 
 MOST_HOPS = 127
+#: Bytes at most of a level that is broadcast.
+LIGHT = 8 << 20
+
+
+def light(df: DataFrame, rows: int, words: int) -> DataFrame:
+    """``df`` of so many rows and words of eight bytes each, to be broadcast if it is small."""
+    return F.broadcast(df) if rows * words * 8 <= LIGHT else df
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, direction: str, high: int, mode: str, budget: int | None = None) -> DataFrame:
@@ -45,15 +56,20 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, directi
     n_goals = n_starts if turned else n_ends
     wanted = n_goals if as_one else n_starts * n_ends - both
     found, met = 0, None
+    n_roots = n_ends if turned else n_starts
+    # Rows of the level and of all levels.
+    n_level = n_visited = n_roots
     for hop in range(1, high + 1):
-        reached = frontier.join(walked, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        reached = light(frontier, n_level, 3).join(walked, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
         frontier = settled(reached.join(visited, ["root", "node"], "left_anti").withColumn("dist", F.lit(hop)))
         within_budget(frontier, budget)
+        n_level = frontier.count()
+        n_visited += n_level
         hits = frontier.join(goals, apart, "left_semi").groupBy("root").agg(F.count("*").alias("n"))
         met = settled(hits if met is None else met.union(hits).groupBy("root").agg(F.sum("n").alias("n")))
         now = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         visited = visited.union(frontier)
-        if now >= wanted or mode == "overall" and now or now == found and frontier.isEmpty():
+        if now >= wanted or mode == "overall" and now or now == found and not n_level:
             break
         found = now
         if not as_one and found:
@@ -66,14 +82,15 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, directi
     rows = settled(
         pairs.select("root", F.col("node").alias("end"), "node", "dist", F.array().cast("array<bigint>").alias("path_edges"), F.array("node").cast("array<bigint>").alias("path_nodes"))
     )
-    before = visited.select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("dist").alias("d"))
+    before = light(visited.select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("dist").alias("d")), n_visited, 3)
     if mode == "one":
         # One predecessor of each reached node is enough: the least edge.
-        steps = before.join(walked, F.col("n") == F.col("a")).join(visited, (F.col("r") == F.col("root")) & (F.col("b") == F.col("node")) & (F.col("d") + 1 == F.col("dist")))
+        steps = before.join(walked, F.col("n") == F.col("a")).join(light(visited, n_visited, 3), (F.col("r") == F.col("root")) & (F.col("b") == F.col("node")) & (F.col("d") + 1 == F.col("dist")))
         steps = settled(steps.groupBy("root", "b").agg(F.min(F.struct("id", "a")).alias("by")).select(F.col("root").alias("r"), "b", F.col("by.id").alias("id"), F.col("by.a").alias("a")))
     out = None
     deepest = rows.agg(F.max("dist")).first()[0] or 0
-    for _ in range(deepest):
+    for step in range(deepest):
+        rows = light(rows, rows.count(), 5 + 2 * step)
         if mode == "one":
             ahead = rows.join(steps, (F.col("root") == F.col("r")) & (F.col("node") == F.col("b")))
         else:
